@@ -1,0 +1,4 @@
+"""The workload this engine covers is batch only: there is no event-time state,
+no watermark and no late data in it.  "Incremental" means skipping months that
+were already written, which is `wayrisk.sinks.partitions.without_existing_months`.
+"""
