@@ -127,9 +127,9 @@ CTES |= {
     "score": _score("risk_life", [], MIN_TRIPS),
     "score_year": _score("risk_year", ["year"], MIN_TRIPS_YEAR),
     "score_month": _score("risk_month", ["year", "month"], MIN_TRIPS_MONTH),
-    "enriched": f"""SELECT mode, start_station_id, exposure_index_pct, eb, eb / 100000 * exposure_trips AS inc, true AS risk_proxy_available
+    "enriched": f"""SELECT mode, start_station_id, exposure_index_pct, eb20, eb20 / 100000 * exposure_trips AS inc, true AS risk_proxy_available
         FROM (SELECT *, (crash_count + sum(crash_count) OVER (PARTITION BY mode) / sum(exposure_trips) OVER (PARTITION BY mode) * 20000)
-          / (exposure_trips + 20000) * 100000 AS eb FROM score)""",
+          / (exposure_trips + 20000) * 100000 AS eb20 FROM score)""",
     "credible": "SELECT * FROM score WHERE credibility_flag = 'credible'",
     "high": """SELECT * FROM credible WHERE eb_risk_rate_per_100k_trips >=
         (SELECT quantile_cont(eb_risk_rate_per_100k_trips, 0.9) FROM credible)""",

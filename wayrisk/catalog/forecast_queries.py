@@ -1 +1,221 @@
-"""pending"""
+"""Demand panel, splits, baselines and error measures; fitted models are checked on rows only."""
+
+from pyspark.sql import functions as F
+
+from wayrisk.catalog.registry import query, r6
+from wayrisk.operators import panel as P
+from wayrisk.plans import forecast
+from wayrisk.session import checkpointed
+
+_LAGS = [f"y_trips_lag_{k}" for k in P.LAGS]
+_ROLL = [f"y_trips_roll{kind}_{n}" for n in P.ROLLING for kind in ("mean", "std")]
+_PARTS = [f"{c}_lag_1" for c in P.COMPONENTS]
+_KEY = "mode, station_id, date_index"
+_SPLIT = """CASE WHEN label_date_index >= (SELECT max(label_date_index) FROM features WHERE y_label IS NOT NULL) THEN 'test'
+    WHEN label_date_index >= (SELECT max(label_date_index) - 1 FROM features WHERE y_label IS NOT NULL) THEN 'val' ELSE 'train' END"""
+# small trees: these queries check the machinery, not the fit
+LIGHT = forecast.TreeSettings(rounds=3, depth=3, step=0.3)
+
+
+def _panel(v):
+    return P.station_panel(v.exposure)
+
+
+def _features(v):
+    return P.panel_features(_panel(v))
+
+
+@query("win3_demand_lags", f"SELECT {_KEY}, {', '.join(_LAGS)} FROM features")
+def _(v):
+    return _features(v).select("mode", "station_id", "date_index", *_LAGS)
+
+
+@query("win4_label_by_row", f"SELECT {_KEY}, label_date_index, y_label FROM features")
+def _(v):
+    return P.with_label(_panel(v)).select("mode", "station_id", "date_index", "label_date_index", "y_label")
+
+
+@query(
+    "win4_label_by_calendar",
+    f"""SELECT a.mode, a.station_id, a.date_index, a.date_index + 2 AS label_date_index, b.y_trips AS y_label FROM panel a
+        LEFT JOIN panel b ON b.mode = a.mode AND b.station_id = a.station_id AND b.date_index = a.date_index + 2""",
+)
+def _(v):
+    df = P.with_label(_panel(v), horizon=2, calendar=True)
+    return df.select("mode", "station_id", "date_index", "label_date_index", "y_label")
+
+
+@query("win5_win6_past_rolling", f"SELECT {_KEY}, {r6(*_ROLL)} FROM features")
+def _(v):
+    return _features(v).select("mode", "station_id", "date_index", *_ROLL)
+
+
+@query("win7_component_lags", f"SELECT {_KEY}, {', '.join(_PARTS)} FROM features")
+def _(v):
+    return _features(v).select("mode", "station_id", "date_index", *_PARTS)
+
+
+@query("win8_station_means", f"SELECT {_KEY}, {r6('station_mean', 'station_month_mean')}, has_y_trips FROM features")
+def _(v):
+    return _features(v).select("mode", "station_id", "date_index", "station_mean", "station_month_mean", "has_y_trips")
+
+
+@query(
+    "win8_station_means_past_only",
+    f"""SELECT {_KEY}, round(m, 6) AS station_mean, round(coalesce(mm, m), 6) AS station_month_mean FROM (
+        SELECT *, avg(y_trips) OVER (PARTITION BY mode, station_id ORDER BY date_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m,
+          avg(y_trips) OVER (PARTITION BY mode, station_id, month ORDER BY date_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mm
+        FROM panel)""",
+)
+def _(v):
+    df = P.with_station_means(_panel(v), past_only=True)
+    return df.select("mode", "station_id", "date_index", "station_mean", "station_month_mean")
+
+
+@query("mlf1_season_features", f"SELECT {_KEY}, {r6('month_sin', 'month_cos')} FROM features")
+def _(v):
+    return P.with_season(_panel(v)).select("mode", "station_id", "date_index", "month_sin", "month_cos")
+
+
+_MATRIX = [
+    "month_sin", "month_cos", "station_mean", "station_month_mean", "has_y_trips", *_LAGS, *_ROLL, "station_lat", "station_lng",
+    *_PARTS,
+]
+
+
+@query(
+    "mlf2_feature_matrix",
+    f"SELECT {_KEY}, y_label, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in _MATRIX) + " FROM features WHERE y_label IS NOT NULL",
+)
+def _(v):
+    return forecast.labelled_rows(_panel(v)).select("mode", "station_id", "date_index", "y_label", *_MATRIX)
+
+
+def _split(v):
+    rows = forecast.labelled_rows(_panel(v))
+    return forecast.with_split(rows, forecast.plan_split(forecast._label_months(rows)))
+
+
+@query("mlf4_time_split", f"SELECT {_KEY}, {_SPLIT} AS split FROM features WHERE y_label IS NOT NULL")
+def _(v):
+    return _split(v).select("mode", "station_id", "date_index", "split")
+
+
+@query(
+    "agg40_split_sizes",
+    f"""SELECT mode, split, count(*) AS rows, count(DISTINCT station_id) AS stations FROM (
+        SELECT mode, station_id, {_SPLIT} AS split FROM features WHERE y_label IS NOT NULL) GROUP BY mode, split""",
+)
+def _(v):
+    return P.split_sizes(_split(v))
+
+
+_BASE = f"""SELECT {_KEY}, y_label, coalesce(y_trips_lag_1, 0) AS baseline_lag1_pred,
+    coalesce(y_trips_lag_12, y_trips_lag_1, 0) AS baseline_lag12_pred FROM features WHERE y_label IS NOT NULL"""
+
+
+@query("mlf8_baselines", _BASE)
+def _(v):
+    return forecast.labelled_rows(_panel(v)).select(
+        "mode", "station_id", "date_index", "y_label", "baseline_lag1_pred", "baseline_lag12_pred"
+    )
+
+
+def _smape(p: str) -> str:
+    return f"round(avg(abs({p} - y_label) / greatest((abs(y_label) + abs({p})) / 2, 1e-6)), 6)"
+
+
+@query(
+    "agg36_agg37_baseline_errors",
+    f"""SELECT mode, round(avg(abs(y_label - baseline_lag1_pred)), 6) AS mae_baseline_lag1, {_smape('baseline_lag1_pred')} AS smape_baseline_lag1,
+        round(avg(abs(y_label - baseline_lag12_pred)), 6) AS mae_baseline_lag12, {_smape('baseline_lag12_pred')} AS smape_baseline_lag12
+        FROM ({_BASE}) GROUP BY mode""",
+)
+def _(v):
+    rows = forecast.labelled_rows(_panel(v)).withColumnRenamed("y_label", "y_true_next_month")
+    return P.error_table(rows)
+
+
+@query(
+    "agg39_improvement_pct",
+    f"""SELECT mode, round(100 * (one - m) / greatest(one, 1e-9), 6) AS mae_improvement_vs_lag1_pct,
+        round(100 * (twelve - m) / greatest(twelve, 1e-9), 6) AS mae_improvement_vs_lag12_pct FROM (
+        SELECT mode, avg(abs(y_label - coalesce(y_trips_lag_1, 0))) AS one,
+          avg(abs(y_label - coalesce(y_trips_lag_12, y_trips_lag_1, 0))) AS twelve, avg(abs(y_label - station_mean)) AS m
+        FROM features WHERE y_label IS NOT NULL GROUP BY mode)""",
+)
+def _(v):
+    # the station mean stands in for a model, so SQL can follow
+    rows = forecast.labelled_rows(_panel(v)).withColumns(
+        {"y_true_next_month": F.col("y_label"), "y_pred_next_month": F.col("station_mean")}
+    )
+    return P.error_table(rows).select("mode", "mae_improvement_vs_lag1_pct", "mae_improvement_vs_lag12_pct")
+
+
+@query(
+    "agg41_last_month_index",
+    "SELECT mode, max(date_index) AS last_index, max(date_index - 1) // 12 AS last_year FROM panel GROUP BY mode",
+)
+def _(v):
+    from wayrisk.functions import expr as X
+
+    last = _panel(v).groupBy("mode").agg(F.max("date_index").alias("last_index"))
+    return last.withColumn("last_year", X.year_of(F.col("last_index")))
+
+
+@query(
+    "prj23_month_index",
+    """SELECT DISTINCT date_index, (date_index - 1) // 12 AS year, (date_index - 1) % 12 + 1 AS month,
+       (date_index + 4) // 12 AS year_plus_5, (date_index + 4) % 12 + 1 AS month_plus_5 FROM panel""",
+)
+def _(v):
+    from wayrisk.functions import expr as X
+
+    at = F.col("date_index")
+    return (
+        _panel(v)
+        .select("date_index")
+        .distinct()
+        .select(
+            "date_index",
+            X.year_of(at).alias("year"),
+            X.month_of(at).alias("month"),
+            X.year_of(at + 5).alias("year_plus_5"),
+            X.month_of(at + 5).alias("month_plus_5"),
+        )
+    )
+
+
+@query("mlf13_filled_history", f"SELECT {_KEY}, round(coalesce(y_trips, station_month_mean), 6) AS y_work FROM features")
+def _(v):
+    return P.filled_history(P.with_station_means(_panel(v))).select("mode", "station_id", "date_index", "y_work")
+
+
+@query("mlf7_log_target", f"SELECT {_KEY}, round(ln(1 + greatest(y_label, 0)), 6) AS log_label FROM features WHERE y_label IS NOT NULL")
+def _(v):
+    rows = forecast.labelled_rows(_panel(v))
+    return rows.select("mode", "station_id", "date_index", F.log1p(F.greatest("y_label", F.lit(0.0))).alias("log_label"))
+
+
+@query("mlf9_predictions")
+def _(v):
+    results = forecast.forecast_demand(v.exposure, LIGHT, backtest_months=0, write_splits="valtest")
+    return forecast.all_predictions(results)
+
+
+@query("mlf10_backtest")
+def _(v):
+    rows = checkpointed(forecast.labelled_rows(_panel(v)).where(F.col("mode") == "nyc"))
+    return v.spark.createDataFrame(sorted(forecast.backtest(rows, LIGHT, 2).items()), "metric string, value double")
+
+
+@query("mlf11_feature_importance")
+def _(v):
+    rows = checkpointed(forecast.labelled_rows(_panel(v)).where(F.col("mode") == "nyc"))
+    return forecast.evaluate_mode(rows, "nyc", LIGHT, backtest_months=0).importance
+
+
+@query("mlf12_future_months")
+def _(v):
+    return forecast.forecast_future(v.exposure, [3, 4], years_ahead=1, settings=LIGHT)
+

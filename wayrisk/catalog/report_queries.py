@@ -14,7 +14,7 @@ _CHOICE = ["mode", "start_station_id", "exposure_trips", "crash_count", EB]
 
 
 def _high(v):
-    return report.high_risk(v.score(), MIN_TRIPS)
+    return report.high_risk(v.stored_score(), MIN_TRIPS)
 
 
 @query("flt15_high_risk_rows", f"SELECT {_ROW} FROM high")
@@ -24,12 +24,12 @@ def _(v):
 
 @query("flt15_high_risk_by_index", f"SELECT {_ROW} FROM credible WHERE risk_index_pct >= 90")
 def _(v):
-    return report.high_risk(v.score(), MIN_TRIPS, by_index=True).select(*_CHOICE)
+    return report.high_risk(v.stored_score(), MIN_TRIPS, by_index=True).select(*_CHOICE)
 
 
 @query("flt10_credible_rows", f"SELECT {_ROW} FROM credible")
 def _(v):
-    return filters.credible(v.score()).select(*_CHOICE)
+    return filters.credible(v.stored_score()).select(*_CHOICE)
 
 
 @query(
@@ -39,7 +39,7 @@ def _(v):
 def _(v):
     from wayrisk.operators.ordering import percentiles
 
-    return percentiles(filters.credible(v.score()), [], EB, {"cutoff": 0.9})
+    return percentiles(filters.credible(v.stored_score()), [], EB, {"cutoff": 0.9})
 
 
 @query(
@@ -63,7 +63,7 @@ def _(v):
     "SELECT year, month, count(*) AS rows FROM score_month GROUP BY year, month",
 )
 def _(v):
-    return report.rows_by_period(v.score("year_month"))
+    return report.rows_by_period(v.stored_score("year_month"))
 
 
 @query(
@@ -71,7 +71,7 @@ def _(v):
     "SELECT credibility_flag, count(*) AS stations FROM score GROUP BY 1",
 )
 def _(v):
-    return report.counts_of(v.score(), "credibility_flag")
+    return report.counts_of(v.stored_score(), "credibility_flag")
 
 
 _ZONED = f"""(SELECT *, CASE WHEN exposure_trips >= x AND rate >= y THEN 'High exposure / High risk'
@@ -82,12 +82,12 @@ _ZONED = f"""(SELECT *, CASE WHEN exposure_trips >= x AND rate >= y THEN 'High e
 
 @query("sta9_risk_zones", f"SELECT {_ROW}, zone FROM {_ZONED}")
 def _(v):
-    return report.risk_zones(v.score(), MIN_TRIPS).select(*_CHOICE, "zone")
+    return report.risk_zones(v.stored_score(), MIN_TRIPS).select(*_CHOICE, "zone")
 
 
 @query("agg18_zone_counts", f"SELECT zone, count(*) AS stations FROM {_ZONED} GROUP BY zone")
 def _(v):
-    return report.counts_of(report.risk_zones(v.score(), MIN_TRIPS), "zone")
+    return report.counts_of(report.risk_zones(v.stored_score(), MIN_TRIPS), "zone")
 
 
 @query(
@@ -96,7 +96,7 @@ def _(v):
         ORDER BY z.rate DESC, exposure_trips DESC, mode, start_station_id LIMIT 15""",
 )
 def _(v):
-    return report.high_priority(report.risk_zones(v.score(), MIN_TRIPS)).select(*_CHOICE)
+    return report.high_priority(report.risk_zones(v.stored_score(), MIN_TRIPS)).select(*_CHOICE)
 
 
 @query(
@@ -119,7 +119,7 @@ _TIER = """CASE WHEN risk_index_pct < 0 THEN NULL WHEN risk_index_pct <= 33 THEN
 
 @query("sta10_risk_tiers", f"SELECT {_ROW}, {_TIER} AS risk_tier FROM credible")
 def _(v):
-    return report.with_tiers(v.score(), MIN_TRIPS).select(*_CHOICE, "risk_tier")
+    return report.with_tiers(v.stored_score(), MIN_TRIPS).select(*_CHOICE, "risk_tier")
 
 
 @query(
@@ -129,7 +129,7 @@ def _(v):
         LEFT JOIN (SELECT {_TIER} AS tier FROM credible) c ON c.tier = t.risk_tier GROUP BY ALL""",
 )
 def _(v):
-    return report.tier_shares(report.with_tiers(v.score(), MIN_TRIPS))
+    return report.tier_shares(report.with_tiers(v.stored_score(), MIN_TRIPS))
 
 
 @query(
@@ -139,12 +139,12 @@ def _(v):
             SELECT {EB} AS v, min({EB}) OVER () AS lo, max({EB}) OVER () AS hi FROM credible)) GROUP BY ALL""",
 )
 def _(v):
-    return report.rate_histogram(v.score(), min_trips=MIN_TRIPS)
+    return report.rate_histogram(v.stored_score(), min_trips=MIN_TRIPS)
 
 
 @query("agg25_median_rate", f"SELECT round(median({EB}), 6) AS median_rate FROM credible")
 def _(v):
-    return report.median_rate(v.score(), MIN_TRIPS)
+    return report.median_rate(v.stored_score(), MIN_TRIPS)
 
 
 _SEASON = f"""SELECT year, month, quantile_cont({EB}, 0.25) AS q25, quantile_cont({EB}, 0.5) AS q50, quantile_cont({EB}, 0.75) AS q75
@@ -153,7 +153,7 @@ _SEASON = f"""SELECT year, month, quantile_cont({EB}, 0.25) AS q25, quantile_con
 
 @query("agg24_seasonality_quartiles", f"SELECT year, month, {r6('q25', 'q50', 'q75')} FROM ({_SEASON})")
 def _(v):
-    return report.seasonality(v.score("year_month"), MIN_TRIPS_MONTH)
+    return report.seasonality(v.stored_score("year_month"), MIN_TRIPS_MONTH)
 
 
 @query(
@@ -163,7 +163,7 @@ def _(v):
     + f" FROM ({_SEASON}) GROUP BY year",
 )
 def _(v):
-    return report.seasonality_heatmap(report.seasonality(v.score("year_month"), MIN_TRIPS_MONTH), range(1, 13))
+    return report.seasonality_heatmap(report.seasonality(v.stored_score("year_month"), MIN_TRIPS_MONTH), range(1, 13))
 
 
 @query(
@@ -176,7 +176,7 @@ def _(v):
             FROM score_year WHERE credibility_flag = 'credible') GROUP BY ALL)""",
 )
 def _(v):
-    return report.yearly_distribution(v.score("year"), MIN_TRIPS_YEAR)
+    return report.yearly_distribution(v.stored_score("year"), MIN_TRIPS_YEAR)
 
 
 _WEIGHTED = f"""SELECT mode, start_station_id, year, CAST(sum(exposure_trips) AS BIGINT) AS exposure_sum,
@@ -188,7 +188,7 @@ _WEIGHTED = f"""SELECT mode, start_station_id, year, CAST(sum(exposure_trips) AS
     f"SELECT mode, start_station_id, year, exposure_sum, {r6('eb_rate_weighted')} FROM ({_WEIGHTED})",
 )
 def _(v):
-    return report.weighted_rates(v.score("year_month"))
+    return report.weighted_rates(v.stored_score("year_month"))
 
 
 @query(
@@ -201,7 +201,7 @@ def _(v):
         ORDER BY exposure_total DESC, a.mode, a.start_station_id LIMIT 120""",
 )
 def _(v):
-    return report.station_change(report.weighted_rates(v.score("year_month")), 1995, 2001, 120)
+    return report.station_change(report.weighted_rates(v.stored_score("year_month")), 1995, 2001, 120)
 
 
 _BURDEN = f"""SELECT mode, year, start_station_id, trips, k, (k + r0 * 20000) / (trips + 20000) AS eb FROM (
@@ -277,7 +277,7 @@ def _(v):
         ORDER BY credible.expected_incidents_proxy DESC, exposure_trips DESC, mode, start_station_id LIMIT 20""",
 )
 def _(v):
-    return report.where_prevention(v.score())
+    return report.where_prevention(v.stored_score())
 
 
 @query(
@@ -286,7 +286,7 @@ def _(v):
        ORDER BY exposure_trips DESC, mode, start_station_id LIMIT 20""",
 )
 def _(v):
-    return report.where_reach(v.score())
+    return report.where_reach(v.stored_score())
 
 
 @query(
@@ -295,12 +295,12 @@ def _(v):
         ORDER BY risk_proxy_available DESC, score.priority_score DESC, mode, start_station_id LIMIT 20""",
 )
 def _(v):
-    return report.where_by_proxy(v.score()).select("mode", "start_station_id", "priority_score", "risk_proxy_available")
+    return report.where_by_proxy(v.stored_score()).select("mode", "start_station_id", "priority_score", "risk_proxy_available")
 
 
 @query("prj17_without_boolean_columns", f"SELECT mode, start_station_id, {r6('priority_score')} FROM score")
 def _(v):
-    card = v.score().select("mode", "start_station_id", "priority_score", "prevention_hotspot", "product_hotspot")
+    card = v.stored_score().select("mode", "start_station_id", "priority_score", "prevention_hotspot", "product_hotspot")
     return drop_boolean_columns(card)
 
 
@@ -311,7 +311,7 @@ def _(v):
        count(*) FILTER (WHERE prevention_hotspot) AS prevention_hotspots FROM score""",
 )
 def _(v):
-    return report.run_summary(v.usage["trips_by_year"], v.score())
+    return report.run_summary(v.usage["trips_by_year"], v.stored_score())
 
 
 @query(
@@ -331,7 +331,7 @@ def _(v):
         UNION ALL SELECT 8, 'Acquisition hotspots', z, NULL FROM n""",
 )
 def _(v):
-    return report.executive_summary(v.score(), MIN_TRIPS)
+    return report.executive_summary(v.stored_score(), MIN_TRIPS)
 
 
 # --- clusters: components of the eps graph, by a recursive walk in SQL -------
@@ -368,18 +368,14 @@ def _(v):
 @query(
     "agg30_cluster_summary",
     _clusters_sql(
-        "SELECT mode || start_station_id AS id, station_lat AS lat, station_lng AS lng, exposure_trips, crash_count FROM score"
-        " WHERE risk_index_pct >= 50",
+        _STATION_POINTS,
         """SELECT cluster, count(*) AS stations_in_cluster, CAST(sum(exposure_trips) AS BIGINT) AS exposure_trips,
            CAST(sum(crash_count) AS BIGINT) AS crash_count, round(avg(lat), 6) AS station_lat, round(avg(lng), 6) AS station_lng
            FROM clustered WHERE cluster >= 0 GROUP BY cluster""",
     ),
 )
 def _(v):
-    high = report.high_risk(v.score(), MIN_TRIPS, percent=50, by_index=True)
-    return report.cluster_summary(
-        report.high_risk_clusters(high.withColumn("id", F.concat("mode", "start_station_id")), key="id")
-    )
+    return report.cluster_summary(report.high_risk_clusters(_station_points(v), key="id"))
 
 
 @query(

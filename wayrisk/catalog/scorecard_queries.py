@@ -20,8 +20,8 @@ _BOUNDS = """bounds AS (
       CASE WHEN lo_tail > 0.975 THEN lo_m ELSE lo_a END, CASE WHEN lo_tail > 0.975 THEN lo_b ELSE lo_m END,
       CASE WHEN hi_tail > 0.025 THEN hi_m ELSE hi_a END, CASE WHEN hi_tail > 0.025 THEN hi_b ELSE hi_m END
     FROM (SELECT *, (lo_a + lo_b) / 2 AS lo_m, (hi_a + hi_b) / 2 AS hi_m,
-        list_sum(list_transform(range(CAST(k AS BIGINT)), i -> exp(i * ln((lo_a + lo_b) / 2) - (lo_a + lo_b) / 2 - lgamma(i + 1)))) AS lo_tail,
-        list_sum(list_transform(range(CAST(k AS BIGINT) + 1), i -> exp(i * ln((hi_a + hi_b) / 2) - (hi_a + hi_b) / 2 - lgamma(i + 1)))) AS hi_tail
+        list_sum(list_transform(range(CAST(k AS BIGINT)), lambda i: exp(i * ln((lo_a + lo_b) / 2) - (lo_a + lo_b) / 2 - lgamma(i + 1)))) AS lo_tail,
+        list_sum(list_transform(range(CAST(k AS BIGINT) + 1), lambda i: exp(i * ln((hi_a + hi_b) / 2) - (hi_a + hi_b) / 2 - lgamma(i + 1)))) AS hi_tail
       FROM steps WHERE step < 70))
   SELECT k, CASE WHEN k = 0 THEN 0 ELSE (lo_a + lo_b) / 2 END AS low, (hi_a + hi_b) / 2 AS high FROM steps WHERE step = 70)"""
 
@@ -60,7 +60,7 @@ def _(v):
 )
 def _(v):
     # nobody reaches this many trips, so no mode has a signal
-    card = build_scorecard(v.risk(), radius="1km", min_trips=1_000_000_000, materialise=False)
+    card = build_scorecard(v.risk(), radius="1km", min_trips=1_000_000_000)
     return card.select(
         "mode", "start_station_id", "credibility_flag", "scoring_strategy", "risk_proxy_available", "exposure_pct",
         "risk_pct", "priority_score", "prevention_hotspot", "product_hotspot", "acquisition_hotspot",
@@ -169,10 +169,10 @@ def _(v):
 @query(
     "sta8_enriched_scorecard",
     """SELECT mode, start_station_id, risk_proxy_available, round(exposure_index_pct, 6) AS exposure_index_pct,
-        round(eb, 6) AS eb_risk_rate_per_100k, round(inc, 6) AS expected_incidents_proxy,
+        round(eb20, 6) AS eb_risk_rate_per_100k, round(inc, 6) AS expected_incidents_proxy,
         round(incidents_pct, 6) AS eb_priority_score, 'eb_expected_incidents_mprior20000' AS scoring_strategy,
         exposure_index_pct >= 80 AND incidents_pct >= 80 AS eb_prevention_hotspot, exposure_index_pct >= 80 AS eb_product_hotspot,
-        exposure_index_pct >= 70 AND eb <= (SELECT median(eb) FROM enriched) AS eb_acquisition_hotspot FROM (
+        exposure_index_pct >= 70 AND eb20 <= (SELECT median(eb20) FROM enriched) AS eb_acquisition_hotspot FROM (
       SELECT *, (rank() OVER (PARTITION BY mode ORDER BY inc) + (count(*) OVER (PARTITION BY mode, inc) - 1) / 2)
             / count(*) OVER (PARTITION BY mode) * 100 AS incidents_pct FROM enriched)""",
 )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wayrisk.operators import usage
 from wayrisk.plans import summaries, windows
 from wayrisk.plans.scorecard import build_scorecard
+from wayrisk.session import checkpointed
 
 RADII = [500.0, 1000.0]
 MIN_TRIPS = 500  # about half of the station rows
@@ -138,6 +139,10 @@ class Views:
         least = {"lifetime": MIN_TRIPS, "year": MIN_TRIPS_YEAR, "year_month": MIN_TRIPS_MONTH}[grain]
         return build_scorecard(self.risk(grain), radius="1000m", min_trips=least, grain=grain, **kwargs)
 
+    def stored_score(self, grain: str = "lifetime") -> DataFrame:
+        """The scorecard as the reports meet it: a stored table."""
+        return checkpointed(self.score(grain))
+
     @cached_property
     def usage(self) -> dict[str, DataFrame]:
         return summaries.usage_tables(self.trips)

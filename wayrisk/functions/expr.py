@@ -70,13 +70,20 @@ def ride_digest(parts: list[Column]) -> Column:
 def timestamp_text(c: Column) -> Column:
     """Timestamp without zone from text in any known layout, else null.
 
-    Offsets are shifted to UTC (the session zone) and fractions of a second cut off.
+    Offsets are shifted to UTC and fractions of a second cut off.
     """
     t = F.trim(c)
     t = F.regexp_replace(t, r"\s+UTC$", "")
     t = F.regexp_replace(t, r"([+-]\d{2}):(\d{2})$", "$1$2")
     t = F.regexp_replace(t, r"\.\d+(Z|[+-]\d{4})?$", "$1")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in TIMESTAMP_PATTERNS]).cast("timestamp_ntz")
+    local = [F.try_to_timestamp(t, F.lit(p)) for p in TIMESTAMP_PATTERNS if not p.endswith("xx")]
+    # an instant with an offset: its UTC wall clock
+    shifted = [
+        F.to_utc_timestamp(F.try_to_timestamp(t, F.lit(p)), F.current_timezone())
+        for p in TIMESTAMP_PATTERNS
+        if p.endswith("xx")
+    ]
+    return F.coalesce(*local, *shifted).cast("timestamp_ntz")
 
 
 def jc_station(station_id: Column) -> Column:
@@ -132,9 +139,10 @@ def year_month_label(year: Column, month: Column) -> Column:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    """Minutes between two zone-less timestamps, to the microsecond."""
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    return (micros(end) - micros(start)) / F.lit(60_000_000.0)
+    """Minutes between two zone-less timestamps, to the microsecond, whatever the session zone."""
+    gap = end - start
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    return part("DAY") * 1440 + part("HOUR") * 60 + part("MINUTE") + part("SECOND").cast("double") / 60
 
 
 # --- geometry -------------------------------------------------------------

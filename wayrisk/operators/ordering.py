@@ -1,12 +1,13 @@
-"""Exact order statistics that never put a whole group into one task.
+"""Exact order statistics that never put an unbounded group into one task.
 
 A percentile rank or a median over a city-wide group is, written as a window or
 as ``percentile``, one task holding every row of the group.  Here the group is
-first reduced to its distinct values with counts (so ties, however many, are one
-row), the values are cut into ordered buckets, and only running sums *inside* a
-bucket and over the *list of buckets* are taken.  The bucket borders are a
-hash-chosen subset of the values themselves, so they follow the distribution and
-come out the same each time the plan is evaluated.
+first reduced to its distinct values with counts, so ties, however many, are one
+row.  That reduced table is checkpointed: it is read several times, and computed
+doubles must not differ in their last bits between the reads.  If it is small, a
+window per group is safe.  If not, the values are cut into ordered buckets and
+running sums are taken inside a bucket and over the list of buckets only; bucket
+borders are a hash-chosen subset of the values, so they follow the distribution.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BUCKET_VALUES = 65_536  # distinct values per bucket aimed at
+from wayrisk.session import checkpointed
+
+BUCKET_VALUES = 65_536  # distinct values one task orders
 MAX_BUCKETS = 1_000  # border values held per group
 
 
@@ -34,7 +37,18 @@ def ordered_counts(
     rows with a smaller one, and non-null rows in the group.
     """
     groups = list(groups)
-    values = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    values = checkpointed(
+        df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    )
+    if values.count() <= bucket_values:
+        before = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return values.select(
+            *groups,
+            value,
+            "n_equal",
+            F.coalesce(F.sum("n_equal").over(before), F.lit(0)).alias("n_before"),
+            F.sum("n_equal").over(W.partitionBy(*groups)).alias("n_total"),
+        )
     sizes = values.groupBy(*groups).agg(
         F.sum("n_equal").alias("n_total"), F.count(F.lit(1)).alias("_distinct")
     )
@@ -64,6 +78,18 @@ def ordered_counts(
     )
 
 
+def _stacked(df: DataFrame, carried: Sequence[str], values: dict[str, Column | str]) -> DataFrame:
+    """One row per value to be ordered (``_metric, _value``); nulls are left out."""
+    parts = [
+        F.struct(
+            F.lit(name).alias("_metric"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("_value")
+        )
+        for name, v in values.items()
+    ]
+    rows = df.select(*carried, F.explode(F.array(*parts)).alias("_s"))
+    return rows.select(*carried, "_s._metric", "_s._value").where(F.col("_value").isNotNull())
+
+
 def with_pct_rank(
     df: DataFrame, groups: Sequence[str], ranks: dict[str, Column | str], key: Sequence[str], **sizes: int
 ) -> DataFrame:
@@ -71,25 +97,12 @@ def with_pct_rank(
 
     ``ranks`` maps a new column to the value it ranks within ``groups``.  ``key``
     identifies a row.  All ranks share one pass: the values are stacked, ordered
-    together, and folded back to one row per key.
+    together, and folded back to one row per key.  Give it stored rows where a value
+    is a computed double.
     """
     groups, key = list(groups), list(key)
     carried = list(dict.fromkeys([*groups, *key]))
-    stacked = df.select(
-        *carried,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("_metric"),
-                        (F.col(v) if isinstance(v, str) else v).cast("double").alias("_value"),
-                    )
-                    for name, v in ranks.items()
-                ]
-            )
-        ).alias("_s"),
-    ).select(*carried, "_s._metric", "_s._value")
-    stacked = stacked.where(F.col("_value").isNotNull())
+    stacked = _stacked(df, carried, ranks)
     places = ordered_counts(stacked, [*groups, "_metric"], "_value", **sizes)
     pct = (F.col("n_before") + (F.col("n_equal") + 1) / 2) / F.col("n_total") * 100.0
     ranked = (
@@ -128,3 +141,9 @@ def percentiles(
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n) for n in points
     ]
     return out.select(*groups, *cols)
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Median of each column over all rows, in one pass, as scalar subqueries."""
+    table = percentiles(_stacked(df, [], {c: c for c in columns}), ["_metric"], "_value", {"m": 0.5})
+    return {c: table.where(F.col("_metric") == c).select("m").scalar() for c in columns}

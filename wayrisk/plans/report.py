@@ -14,7 +14,7 @@ from wayrisk.operators import stats
 from wayrisk.operators.canonical import drop_boolean_columns, ordered_subset
 from wayrisk.operators.clusters import density_clusters
 from wayrisk.operators.filters import credible
-from wayrisk.operators.ordering import percentiles
+from wayrisk.operators.ordering import medians, percentiles
 from wayrisk.operators.shares import group_shares
 from wayrisk.schemas import RATE_SCALE, TIERS
 
@@ -88,8 +88,8 @@ def cluster_totals(clustered: DataFrame) -> DataFrame:
 def risk_zones(rows: DataFrame, min_trips: int = 5000, trips: str = "exposure_trips", rate: str = EB) -> DataFrame:
     """Four quadrants round the medians of exposure and rate; on a median counts as high."""
     kept = rows.where(F.col(rate).isNotNull() & (F.col(trips) >= min_trips))
-    medians = {c: percentiles(kept, [], c, {"m": 0.5}).scalar() for c in (trips, rate)}
-    return kept.withColumn("zone", X.zone(F.col(trips) >= medians[trips], F.col(rate) >= medians[rate]))
+    middle = medians(kept, [trips, rate])
+    return kept.withColumn("zone", X.zone(F.col(trips) >= middle[trips], F.col(rate) >= middle[rate]))
 
 
 def zone_rates_from_risk(risk: DataFrame, radius: str | int = "auto") -> DataFrame:

@@ -53,13 +53,12 @@ def build_scorecard(
     min_trips: int = 5000,
     m_prior: float | None = None,
     grain: str = "lifetime",
-    materialise: bool = True,
 ) -> DataFrame:
     """Score every station of a risk table; ranks and priors are per mode (and period).
 
     Modes whose credible stations show no differing rates are scored on exposure alone.
-    ``materialise`` checkpoints the rated rows once: three ranks read them, and a fitted
-    prior must not differ in its last bits between those reads.
+    The rated rows are checkpointed once: three ranks read them, and a fitted prior must
+    not differ in its last bits between those reads.
     """
     metres = choose_radius(radii_in_columns(risk.columns), radius, strict=True)
     count_col, rate_col = crash_column(metres), rate_column(metres)
@@ -103,9 +102,7 @@ def build_scorecard(
             ).otherwise("no_risk_data"),
         }
     )
-    rated = stats.with_poisson_interval(rated, "crash_count", "exposure_trips", alpha)
-    if materialise:
-        rated = checkpointed(rated)
+    rated = checkpointed(stats.with_poisson_interval(rated, "crash_count", "exposure_trips", alpha))
 
     enough = F.col("exposure_trips") >= min_trips
     ranked = with_pct_rank(
@@ -182,6 +179,7 @@ def enrich_scorecard(
         {"eb_risk_rate_per_100k": eb * RATE_SCALE, "expected_incidents_proxy": eb * F.col("exposure_trips")}
     )
     incident_facts = s.groupBy(*groups).agg(differs(F.col("expected_incidents_proxy")).alias("_incidents_differ"))
+    s = checkpointed(s)
     middle = percentiles(s, [], "eb_risk_rate_per_100k", {"_median": 0.5})
     s = with_pct_rank(
         s,
