@@ -121,6 +121,7 @@ def fit_trees(train: DataFrame, features: Sequence[str], settings: TreeSettings,
         seed=settings.seed,
     )
     if settings.early_stopping and val is not None:
+        trees.setParams(validationIndicatorCol="_val", validationTol=settings.tolerance)
         rows = rows.unionByName(val.withColumns({"_target": target.cast("double"), "_val": F.lit(True)}))
         trees = trees.setValidationIndicatorCol("_val").setValidationTol(settings.tolerance)
     # keep only what the fit reads
@@ -316,14 +317,15 @@ def forecast_future(
             "mode", "station_id", "start_station_name", "station_lat", "station_lng",
             "station_mean", "station_month_mean", "has_y_trips", "_past",
             F.coalesce("y_work", F.lit(0.0)).alias("y_work"),
+            F.struct("station_lat", "station_lng").alias("_place"),
         )
         for step, at in enumerate(range(last, max(wanted)), start=1):
             (year, month), (next_year, next_month) = year_month(at), year_month(at + 1)
             current = P.clean_features(P.with_season(state.withColumns(_state_features(month))), features)
             stepped = _predict(model, current, settings)
             carried = stepped.select(
-                "mode", "station_id", "start_station_name", "station_lat", "station_lng",
-                "station_mean", "station_month_mean",
+                "mode", "station_id", "start_station_name", "_place.station_lat", "_place.station_lng",
+                "station_mean", "station_month_mean", "_place",
                 F.lit(0).alias("has_y_trips"),
                 F.slice(F.concat(F.array("y_work"), "_past"), 1, _DEEPEST).alias("_past"),
                 F.col("y_pred_next_month").alias("y_work"),
