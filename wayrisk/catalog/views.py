@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wayrisk.operators import usage
 from wayrisk.plans import summaries, windows
 from wayrisk.plans.scorecard import build_scorecard
-from wayrisk.session import checkpointed
+from wayrisk.session import stored
 
 RADII = [500.0, 1000.0]
 MIN_TRIPS = 500  # about half of the station rows
@@ -29,11 +29,8 @@ def is_jc(k: str) -> str:
 
 
 def station_id(k: str) -> str:
-    digits = f"lpad(CAST({k} AS STRING), 9, '0')"
-    return (
-        f"CASE WHEN {is_jc(k)} THEN (CASE WHEN {k} % 3 = 0 THEN 'hb' ELSE 'JC' END) || {digits} "
-        f"ELSE {digits} || '.10' END"
-    )
+    text = f"CAST({k} AS STRING)"
+    return f"CASE WHEN NOT {is_jc(k)} THEN {text} || '.10' WHEN {k} % 3 = 0 THEN 'hb' || {text} ELSE 'JC' || {text} END"
 
 
 def station_name(k: str) -> str:
@@ -141,7 +138,7 @@ class Views:
 
     def stored_score(self, grain: str = "lifetime") -> DataFrame:
         """The scorecard as the reports meet it: a stored table."""
-        return checkpointed(self.score(grain))
+        return stored(self.score(grain))
 
     @cached_property
     def usage(self) -> dict[str, DataFrame]:

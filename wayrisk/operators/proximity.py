@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,9 +117,18 @@ def count_within(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
+    # The pair tests are the costly part, and station rows are few bytes: without a fixed
+    # number of partitions AQE would pack them into one task.
+    width = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    looked_up = looked_up.repartition(width, *on, "_salt").alias("s")
     chord = X.half_chord_sq(F.col("station_lat"), F.col("station_lng"), F.col("_clat"), F.col("_clng"))
     limits = {r: X.half_chord_limit(float(r)) for r in radii}
-    near = looked_up.join(points, [*on, "_salt"], "left").withColumn("_chord", chord)
+    same_cell = reduce(and_, [F.col(f"s.{c}") == F.col(f"p.{c}") for c in [*on, "_salt"]])
+    # cheap latitude test first; pairs beyond the widest radius never leave the join
+    in_reach = (F.abs(F.col("station_lat") - F.col("_clat")) <= height) & (chord <= max(limits.values()))
+    near = looked_up.join(points.alias("p"), same_cell & in_reach, "left").select(
+        *[F.col(f"s.{c}") for c in stations.columns], "_weight", chord.alias("_chord")
+    )
     counts = [
         F.coalesce(F.sum(F.when(F.col("_chord") <= limit, F.col("_weight"))), F.lit(0)).alias(crash_column(r))
         for r, limit in limits.items()

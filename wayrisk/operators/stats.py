@@ -18,18 +18,22 @@ PRIOR_RANGE = (1_000.0, 100_000.0)
 MIN_SIGNAL_ROWS = 10
 
 
-def prior_moments(df: DataFrame, groups: Sequence[str], count: str, exposure: str) -> DataFrame:
-    """Per group: mean and sample variance of the rates, mean exposure, rows used, and sums of all rows."""
+def moment_columns(count: str, exposure: str) -> list[Column]:
+    """Aggregates: mean and sample variance of the rates, mean exposure, rows used, sums of all rows."""
     usable = (F.col(exposure) > 0) & (F.col(count) >= 0)
     rate = F.when(usable, F.col(count) / F.nullif(F.col(exposure), F.lit(0)))
-    return df.groupBy(*groups).agg(
+    return [
         F.count(F.when(usable, 1)).alias("rows_used"),
         F.avg(rate).alias("mean_rate"),
         F.var_samp(rate).alias("var_rate"),
         F.avg(F.when(usable, F.col(exposure))).alias("mean_exposure"),
         F.sum(count).alias("total_count"),
         F.sum(exposure).alias("total_exposure"),
-    )
+    ]
+
+
+def prior_moments(df: DataFrame, groups: Sequence[str], count: str, exposure: str) -> DataFrame:
+    return df.groupBy(*groups).agg(*moment_columns(count, exposure))
 
 
 def prior_strength(rows: Column, mean_rate: Column, var_rate: Column, mean_exposure: Column) -> Column:
@@ -40,18 +44,21 @@ def prior_strength(rows: Column, mean_rate: Column, var_rate: Column, mean_expos
     return F.when(rows < MIN_PRIOR_ROWS, F.lit(DEFAULT_PRIOR)).otherwise(fitted)
 
 
-def group_prior(
-    df: DataFrame, groups: Sequence[str], count: str, exposure: str, m_prior: float | None = None
-) -> DataFrame:
-    """Per group the baseline rate per trip and the prior strength (fitted unless given)."""
-    moments = prior_moments(df, groups, count, exposure)
+def prior_columns(m_prior: float | None = None) -> list[Column]:
+    """From a row of moments: baseline rate per trip and prior strength (fitted unless given)."""
     strength = (
         F.lit(float(m_prior))
         if m_prior is not None
         else prior_strength(*[F.col(c) for c in ("rows_used", "mean_rate", "var_rate", "mean_exposure")])
     )
-    baseline = F.when(F.col("total_exposure") > 0, F.col("total_count") / F.col("total_exposure"))
-    return moments.select(*groups, baseline.alias("baseline_rate"), strength.alias("prior_trips"))
+    baseline = F.when(F.col("total_exposure") > 0, F.col("total_count") / F.nullif(F.col("total_exposure"), F.lit(0)))
+    return [baseline.alias("baseline_rate"), strength.alias("prior_trips")]
+
+
+def group_prior(
+    df: DataFrame, groups: Sequence[str], count: str, exposure: str, m_prior: float | None = None
+) -> DataFrame:
+    return prior_moments(df, groups, count, exposure).select(*groups, *prior_columns(m_prior))
 
 
 def eb_rate(count: Column, exposure: Column, baseline: Column, prior_trips: Column) -> Column:
@@ -59,17 +66,19 @@ def eb_rate(count: Column, exposure: Column, baseline: Column, prior_trips: Colu
     return (count + baseline * prior_trips) / (exposure + prior_trips)
 
 
-def risk_signal(
-    df: DataFrame, groups: Sequence[str], rate: str, exposure: str, min_trips: int, min_rows: int = MIN_SIGNAL_ROWS
-) -> DataFrame:
-    """Per group: whether rates differ among the rows with enough trips, of which there must be ``min_rows``.
+def signal_column(rate: str, exposure: str, min_trips: int, min_rows: int = MIN_SIGNAL_ROWS) -> Column:
+    """Aggregate: whether rates differ among the rows with enough trips, of which there must be ``min_rows``.
 
     "More than one distinct rate" is minimum below maximum, so no distinct set is built.
     """
     enough = F.col(exposure) >= min_trips
     seen = F.when(enough, F.col(rate))
     signal = (F.count(F.when(enough, 1)) >= min_rows) & F.coalesce(F.min(seen) < F.max(seen), F.lit(False))
-    return df.groupBy(*groups).agg(signal.alias("risk_proxy_available"))
+    return signal.alias("risk_proxy_available")
+
+
+def risk_signal(df: DataFrame, groups: Sequence[str], rate: str, exposure: str, min_trips: int) -> DataFrame:
+    return df.groupBy(*groups).agg(signal_column(rate, exposure, min_trips))
 
 
 # --- exact Poisson bounds --------------------------------------------------

@@ -123,7 +123,6 @@ def fit_trees(train: DataFrame, features: Sequence[str], settings: TreeSettings,
     if settings.early_stopping and val is not None:
         trees.setParams(validationIndicatorCol="_val", validationTol=settings.tolerance)
         rows = rows.unionByName(val.withColumns({"_target": target.cast("double"), "_val": F.lit(True)}))
-        trees = trees.setValidationIndicatorCol("_val").setValidationTol(settings.tolerance)
     # keep only what the fit reads
     rows = rows.select(*features, "_target", "_val")
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), trees]).fit(rows)

@@ -14,7 +14,7 @@ from wayrisk.operators.canonical import ordered_subset
 from wayrisk.operators.ordering import percentiles, with_pct_rank
 from wayrisk.operators.usage import STATION
 from wayrisk.schemas import RATE_SCALE
-from wayrisk.session import checkpointed
+from wayrisk.session import checkpointed, stored
 
 PERIODS = {"lifetime": [], "year": ["year"], "year_month": ["year", "month"]}
 COLUMNS = [
@@ -57,8 +57,8 @@ def build_scorecard(
     """Score every station of a risk table; ranks and priors are per mode (and period).
 
     Modes whose credible stations show no differing rates are scored on exposure alone.
-    The rated rows are checkpointed once: three ranks read them, and a fitted prior must
-    not differ in its last bits between those reads.
+    The risk rows are stored once, as several passes read them, and so is the row of
+    facts per mode: a fitted prior must not differ in its last bits between passes.
     """
     metres = choose_radius(radii_in_columns(risk.columns), radius, strict=True)
     count_col, rate_col = crash_column(metres), rate_column(metres)
@@ -76,10 +76,13 @@ def build_scorecard(
         X.whole(count_col).alias("crash_count"),
         F.coalesce(X.number(rate_col), F.lit(0.0)).alias("risk_rate_per_100k_trips"),
     )
-    base = base.withColumn("mode", F.coalesce(F.col("mode"), F.lit("nan")))
-    prior = stats.group_prior(base, groups, "crash_count", "exposure_trips", m_prior)
-    signal = stats.risk_signal(base, groups, "risk_rate_per_100k_trips", "exposure_trips", min_trips)
-    rated = base.join(prior.join(signal, groups), groups)
+    base = stored(base.withColumn("mode", F.coalesce(F.col("mode"), F.lit("nan"))))
+    facts = base.groupBy(*groups).agg(
+        *stats.moment_columns("crash_count", "exposure_trips"),
+        stats.signal_column("risk_rate_per_100k_trips", "exposure_trips", min_trips),
+    )
+    facts = checkpointed(facts.select(*groups, "risk_proxy_available", *stats.prior_columns(m_prior)))
+    rated = base.join(facts, groups)
     signalled = F.col("risk_proxy_available")
     eb = F.when(
         signalled,
@@ -102,7 +105,6 @@ def build_scorecard(
             ).otherwise("no_risk_data"),
         }
     )
-    rated = checkpointed(stats.with_poisson_interval(rated, "crash_count", "exposure_trips", alpha))
 
     enough = F.col("exposure_trips") >= min_trips
     ranked = with_pct_rank(
@@ -132,6 +134,7 @@ def build_scorecard(
             ),
         }
     )
+    scored = stats.with_poisson_interval(scored, "crash_count", "exposure_trips", alpha)
     return ordered_subset(scored, COLUMNS)
 
 
@@ -179,7 +182,7 @@ def enrich_scorecard(
         {"eb_risk_rate_per_100k": eb * RATE_SCALE, "expected_incidents_proxy": eb * F.col("exposure_trips")}
     )
     incident_facts = s.groupBy(*groups).agg(differs(F.col("expected_incidents_proxy")).alias("_incidents_differ"))
-    s = checkpointed(s)
+    s = stored(s)
     middle = percentiles(s, [], "eb_risk_rate_per_100k", {"_median": 0.5})
     s = with_pct_rank(
         s,
