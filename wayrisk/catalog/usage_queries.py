@@ -1,5 +1,7 @@
 """Usage counts, shares, pivots and top lists."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wayrisk.catalog.registry import query, r6
@@ -11,27 +13,43 @@ YEARS = list(range(1995, 2002))
 
 @query("agg1_trips_by_month", f"SELECT mode, year, month, trips, {r6('trips_per_day')} FROM by_month")
 def _(v):
-    return v.usage["trips_by_month"]
+    return usage.trips_by_month(v.trips)
 
 
 @query("agg2_trips_by_year", "SELECT * FROM by_year")
 def _(v):
-    return v.usage["trips_by_year"]
+    return usage.trips_by_year(usage.trips_by_month(v.trips))
 
 
 @query("agg3_trips_by_dow", "SELECT * FROM by_dow")
 def _(v):
-    return v.usage["trips_by_dow"]
+    return usage.trips_by_dow(v.trips)
 
 
 @query("agg4_trips_by_hour", "SELECT * FROM by_hour")
 def _(v):
-    return v.usage["trips_by_hour"]
+    return usage.trips_by_hour(v.trips)
 
 
 @query("agg4_trips_by_hour_week_part", "SELECT * FROM by_hour_part")
 def _(v):
-    return v.usage["trips_by_hour_week_part"]
+    return usage.trips_by_hour(v.trips, by_week_part=True)
+
+
+@query(
+    "tab1_usage_tables",
+    """SELECT 'trips_by_month' AS name, mode, count(*) AS rows, CAST(sum(trips) AS BIGINT) AS trips FROM by_month GROUP BY mode
+       UNION ALL SELECT 'trips_by_year', mode, count(*), CAST(sum(trips) AS BIGINT) FROM by_year GROUP BY mode
+       UNION ALL SELECT 'trips_by_dow', mode, count(*), CAST(sum(trips) AS BIGINT) FROM by_dow GROUP BY mode
+       UNION ALL SELECT 'trips_by_hour', mode, count(*), CAST(sum(trips) AS BIGINT) FROM by_hour GROUP BY mode
+       UNION ALL SELECT 'trips_by_hour_week_part', mode, count(*), CAST(sum(trips) AS BIGINT) FROM by_hour_part GROUP BY mode""",
+)
+def _(v):
+    parts = [
+        df.groupBy("mode").agg(F.count(F.lit(1)).alias("rows"), F.sum("trips").alias("trips")).withColumn("name", F.lit(n))
+        for n, df in v.usage.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayrisk.functions import expr as X
-from wayrisk.schemas import JC_INGEST_BOX, JC_STATION_BOX
+from wayrisk.schemas import COMMUTER_HOURS, JC_INGEST_BOX, JC_STATION_BOX
+from wayrisk.session import small_side
 
 SOURCE_MONTH = ("mode", "year", "month")
 
@@ -44,9 +45,8 @@ def filter_network(
 
     scope = list(scope)
     any_jc = start_jc if end_jc is None else (start_jc if start_jc is not None else F.lit(False)) | end_jc
-    # One row per source month: partial aggregates leave nothing big to shuffle.
-    # The join is on a handful of rows, which AQE turns into a broadcast by size.
-    decided = trips.groupBy(*scope).agg(F.max(any_jc).alias("_prefixed"))
+    # One row per source month: the trips themselves are not shuffled for it.
+    decided = small_side(trips.groupBy(*scope).agg(F.max(any_jc).alias("_prefixed")))
     if {"start_lat", "start_lng", "end_lat", "end_lng"} <= cols:
         boxed = _both_ends(
             X.in_box(X.number("start_lat"), X.number("start_lng"), JC_INGEST_BOX),
@@ -119,8 +119,6 @@ def credible(df: DataFrame, min_trips: int = 5000, exposure: str = "exposure_tri
 
 
 def commuter_hours(hours: DataFrame) -> DataFrame:
-    from wayrisk.schemas import COMMUTER_HOURS
-
     return hours.where((F.col("week_part") == "weekday") & F.col("hour").isin(COMMUTER_HOURS))
 
 

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from wayrisk.session import checkpointed
+from wayrisk.session import checkpointed, small_side
 
 BUCKET_VALUES = 65_536  # distinct values one task orders
 MAX_BUCKETS = 1_000  # border values held per group
+MAX_BORDER_LISTS = 2_000  # groups whose border lists are broadcast (8 kB each)
 
 
 def ordered_counts(
@@ -61,7 +62,7 @@ def ordered_counts(
     )
     bucket = F.coalesce(F.size(F.filter("_borders", lambda b: b <= F.col(value))), F.lit(0))
     placed = (
-        values.join(sizes.join(borders, groups, "left"), groups)
+        values.join(small_side(sizes.join(borders, groups, "left"), MAX_BORDER_LISTS), groups)
         .select(*groups, value, "n_equal", "n_total", bucket.alias("_bucket"))
     )
     within = W.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)

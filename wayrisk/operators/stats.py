@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayrisk.functions import expr as X
+from wayrisk.session import small_side
 
 DEFAULT_PRIOR = 20_000.0  # pseudo-trips when too few rows tell
 MIN_PRIOR_ROWS = 30
@@ -122,25 +123,33 @@ def poisson_bounds(k: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]
     return lower, solve(k, alpha / 2)
 
 
-def with_poisson_interval(
-    df: DataFrame, count: str, exposure: str, alpha: float = 0.05, prefix: str = "risk_rate_ci"
-) -> DataFrame:
-    """Add the exact interval of the rate per 100,000 trips (null without exposure).
-
-    Bounds depend on the count alone, so they are solved once per distinct count.
-    """
+def bounds_table(counts: DataFrame, count: str, alpha: float = 0.05) -> DataFrame:
+    """Bounds of the mean for every distinct count (``_k, _low, _high``), solved in parallel."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             low, high = poisson_bounds(batch["_k"].to_numpy(), alpha)
             yield pd.DataFrame({"_k": batch["_k"], "_low": low, "_high": high})
 
-    bounds = (
-        df.select(F.col(count).cast("long").alias("_k"))
-        .where(F.col("_k").isNotNull())
-        .distinct()
-        .mapInPandas(solve, "_k long, _low double, _high double")
-    )
+    distinct = counts.select(F.col(count).cast("long").alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    return small_side(distinct.mapInPandas(solve, "_k long, _low double, _high double"))
+
+
+def with_poisson_interval(
+    df: DataFrame,
+    count: str,
+    exposure: str,
+    alpha: float = 0.05,
+    prefix: str = "risk_rate_ci",
+    bounds: DataFrame | None = None,
+) -> DataFrame:
+    """Add the exact interval of the rate per 100,000 trips (null without exposure).
+
+    Bounds depend on the count alone, so they are solved once per distinct count.
+    ``bounds`` may be given where the counts are stored already.
+    """
+    if bounds is None:
+        bounds = bounds_table(df, count, alpha)
     joined = df.withColumn("_k", F.col(count).cast("long")).join(bounds, "_k", "left")
     return joined.withColumns(
         {

@@ -51,6 +51,17 @@ def trips_by_hour(trips: DataFrame, by_week_part: bool = False) -> DataFrame:
     )
 
 
+def usage_cube(trips: DataFrame) -> DataFrame:
+    """Trips by mode, year, month, weekday and hour: at most 2,016 rows per month.
+
+    All usage tables are sums over it, so one scan of the trips serves them all.
+    """
+    at = F.col("started_at")
+    return trips.groupBy("mode", "year", "month", X.dow(at).alias("dow"), F.hour(at).alias("hour")).agg(
+        F.count(F.lit(1)).alias("trips")
+    )
+
+
 def station_exposure(trips: DataFrame, exposure: str = "touchpoints", mode: str | None = None) -> DataFrame:
     """Starts, ends and mean place per station and month.
 

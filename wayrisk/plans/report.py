@@ -17,6 +17,7 @@ from wayrisk.operators.filters import credible
 from wayrisk.operators.ordering import medians, percentiles
 from wayrisk.operators.shares import group_shares
 from wayrisk.schemas import RATE_SCALE, TIERS
+from wayrisk.session import small_side
 
 EB = "eb_risk_rate_per_100k_trips"
 
@@ -172,7 +173,7 @@ def yearly_distribution(scorecard: DataFrame, min_trips: int = 5000, rate: str =
     v = F.col(rate)
     return (
         rows.select("year", rate)
-        .join(boxes, "year")
+        .join(small_side(boxes), "year")
         .groupBy("year", "q25", "q50", "q75")
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -232,7 +233,7 @@ def yearly_rates(
     )
     eb = stats.eb_rate(F.col("crash_count"), F.col("trips"), F.col("_baseline"), F.lit(float(m_prior)))
     return (
-        stable.join(baseline, ["mode", "year"])
+        stable.join(small_side(baseline), ["mode", "year"])
         .withColumn("_eb", eb)
         .select(
             "mode",

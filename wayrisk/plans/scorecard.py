@@ -14,7 +14,7 @@ from wayrisk.operators.canonical import ordered_subset
 from wayrisk.operators.ordering import percentiles, with_pct_rank
 from wayrisk.operators.usage import STATION
 from wayrisk.schemas import RATE_SCALE
-from wayrisk.session import checkpointed, stored
+from wayrisk.session import small_side, stored
 
 PERIODS = {"lifetime": [], "year": ["year"], "year_month": ["year", "month"]}
 COLUMNS = [
@@ -81,7 +81,7 @@ def build_scorecard(
         *stats.moment_columns("crash_count", "exposure_trips"),
         stats.signal_column("risk_rate_per_100k_trips", "exposure_trips", min_trips),
     )
-    facts = checkpointed(facts.select(*groups, "risk_proxy_available", *stats.prior_columns(m_prior)))
+    facts = small_side(facts.select(*groups, "risk_proxy_available", *stats.prior_columns(m_prior)))
     rated = base.join(facts, groups)
     signalled = F.col("risk_proxy_available")
     eb = F.when(
@@ -134,7 +134,8 @@ def build_scorecard(
             ),
         }
     )
-    scored = stats.with_poisson_interval(scored, "crash_count", "exposure_trips", alpha)
+    bounds = stats.bounds_table(base, "crash_count", alpha)
+    scored = stats.with_poisson_interval(scored, "crash_count", "exposure_trips", alpha, bounds=bounds)
     return ordered_subset(scored, COLUMNS)
 
 
@@ -173,7 +174,7 @@ def enrich_scorecard(
         F.coalesce(X.ratio(F.sum("crash_count"), F.sum("exposure_trips")), F.lit(0.0)).alias("_baseline"),
         differs(F.col("exposure_trips")).alias("_exposure_differs"),
     )
-    s = s.join(facts, groups)
+    s = s.join(small_side(facts), groups)
     eb = F.when(
         F.col("risk_proxy_available"),
         stats.eb_rate(F.col("crash_count"), F.col("exposure_trips"), F.col("_baseline"), F.lit(float(m_prior))),
@@ -189,7 +190,7 @@ def enrich_scorecard(
         groups,
         {"exposure_index_pct": "exposure_trips", "_incidents_pct": "expected_incidents_proxy"},
         key=key,
-    ).join(incident_facts, groups)
+    ).join(small_side(incident_facts), groups)
     exposure_pct = F.when(F.col("_exposure_differs"), F.col("exposure_index_pct")).otherwise(50.0)
     incident_pct = F.when(F.col("_incidents_differ"), F.col("_incidents_pct")).otherwise(50.0)
     s = s.withColumn("exposure_index_pct", exposure_pct)

@@ -7,7 +7,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayrisk.functions import expr as X
 from wayrisk.operators import proximity, usage
+from wayrisk.session import stored
 
 GRAINS = {
     "lifetime": (usage.exposure_lifetime, []),
@@ -17,13 +19,20 @@ GRAINS = {
 
 
 def usage_tables(trips: DataFrame) -> dict[str, DataFrame]:
-    by_month = usage.trips_by_month(trips)
+    """All usage tables from one stored pass over the trips."""
+    cube = stored(usage.usage_cube(trips))
+    total = F.sum("trips").alias("trips")
+    timed = cube.where(F.col("dow").isNotNull())
+    by_month = cube.groupBy("mode", "year", "month").agg(total)
+    named = timed.withColumns({"dow_name": X.dow_name(F.col("dow")), "week_part": X.week_part(F.col("dow"))})
     return {
-        "trips_by_month": by_month,
-        "trips_by_year": usage.trips_by_year(by_month),
-        "trips_by_dow": usage.trips_by_dow(trips),
-        "trips_by_hour": usage.trips_by_hour(trips),
-        "trips_by_hour_week_part": usage.trips_by_hour(trips, by_week_part=True),
+        "trips_by_month": by_month.withColumn(
+            "trips_per_day", F.col("trips") / X.days_in_month(F.col("year"), F.col("month"))
+        ),
+        "trips_by_year": cube.groupBy("mode", "year").agg(total),
+        "trips_by_dow": named.groupBy("mode", "year", "dow", "dow_name", "week_part").agg(total),
+        "trips_by_hour": timed.groupBy("mode", "year", "hour").agg(total),
+        "trips_by_hour_week_part": named.groupBy("mode", "year", "week_part", "hour").agg(total),
     }
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the plans rely on.  Sizing (executors, shuffle partitions) is left to
 # the cluster: AQE coalesces small shuffles and splits skewed ones at run time.
@@ -55,3 +56,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A table of facts to join onto a big one: broadcast if its checked size allows.
+
+    The table is computed and checkpointed here.  Up to ``max_rows`` rows it is
+    broadcast, so the big side is not shuffled by a few hot keys; above that it is
+    left to an ordinary shuffle join, which AQE splits where keys are skewed.
+    """
+    table = checkpointed(df)
+    return F.broadcast(table) if table.count() <= max_rows else table
