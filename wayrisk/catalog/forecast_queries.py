@@ -163,6 +163,25 @@ def _(v):
     return last.withColumn("last_year", X.year_of(F.col("last_index")))
 
 
+@query(
+    "win14_latest_station_row",
+    """SELECT mode, station_id, date_index, y_trips FROM panel
+       QUALIFY row_number() OVER (PARTITION BY mode, station_id ORDER BY date_index DESC) = 1""",
+)
+def _(v):
+    return P.latest_rows(_panel(v)).select("mode", "station_id", "date_index", "y_trips")
+
+
+@query(
+    "win15_keep_last_by_key",
+    """SELECT mode, year, month, trip_no FROM trips
+       QUALIFY row_number() OVER (PARTITION BY mode, year, month ORDER BY trip_no DESC) = 1""",
+)
+def _(v):
+    rows = v.trips.select("mode", "year", "month", "trip_no")
+    return P.latest_rows(rows, ("mode", "year", "month"), ("trip_no",))
+
+
 @query(
     "prj23_month_index",
     """SELECT DISTINCT date_index, (date_index - 1) // 12 AS year, (date_index - 1) % 12 + 1 AS month,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wayrisk.catalog.registry import query, r6
 from wayrisk.catalog.views import MIN_TRIPS, MIN_TRIPS_MONTH, MIN_TRIPS_YEAR
+from wayrisk.functions import expr as X
 from wayrisk.operators import filters
 from wayrisk.operators.canonical import drop_boolean_columns
 from wayrisk.plans import report
@@ -298,6 +299,44 @@ def _(v):
     return report.where_by_proxy(v.stored_score()).select("mode", "start_station_id", "priority_score", "risk_proxy_available")
 
 
+@query(
+    "top4_lowest_exposure",
+    "SELECT mode, start_station_id, trips FROM risk_life ORDER BY trips, mode, start_station_id LIMIT 10",
+)
+def _(v):
+    return report.lowest_exposure(v.risk(), trips="trips").select("mode", "start_station_id", "trips")
+
+
+@query(
+    "top4_top_expected_incidents",
+    f"""SELECT mode, start_station_id, {r6('expected_incidents_proxy')} FROM credible
+        ORDER BY credible.expected_incidents_proxy DESC, mode, start_station_id LIMIT 20""",
+)
+def _(v):
+    top = report._top(filters.credible(v.stored_score()), 20, "expected_incidents_proxy")
+    return top.select("mode", "start_station_id", "expected_incidents_proxy")
+
+
+@query(
+    "sta12_plain_metrics",
+    """SELECT mode, start_station_id, round(crashes_within_500m / trips * 100, 6) AS crash_rate_pct,
+       round(trips / nullif(crashes_within_500m, 0), 6) AS trips_per_crash FROM risk_life""",
+)
+def _(v):
+    return report.plain_metrics(v.risk(), 500).select("mode", "start_station_id", "crash_rate_pct", "trips_per_crash")
+
+
+@query(
+    "prj24_credibility_fallback",
+    f"""SELECT mode, start_station_id, CASE WHEN trips >= {MIN_TRIPS} THEN 'credible' ELSE 'insufficient_data' END AS credibility_flag
+        FROM risk_life""",
+)
+def _(v):
+    return v.risk().select(
+        "mode", "start_station_id", X.credibility(F.col("trips"), MIN_TRIPS).alias("credibility_flag")
+    )
+
+
 @query("prj17_without_boolean_columns", f"SELECT mode, start_station_id, {r6('priority_score')} FROM score")
 def _(v):
     card = v.stored_score().select("mode", "start_station_id", "priority_score", "prevention_hotspot", "product_hotspot")
@@ -321,14 +360,14 @@ def _(v):
           count(*) FILTER (WHERE c AND tier = 'Medium Risk') AS m, count(*) FILTER (WHERE c AND tier = 'Low Risk') AS l,
           count(*) FILTER (WHERE prevention_hotspot) AS p, count(*) FILTER (WHERE product_hotspot) AS q,
           count(*) FILTER (WHERE acquisition_hotspot) AS z FROM t)
-        SELECT 1 AS position, 'Total station-period rows' AS metric, a AS value, NULL AS pct FROM n
-        UNION ALL SELECT 2, 'Credible rows (>={MIN_TRIPS:,} trips)', k, round(k / a * 100, 6) FROM n
-        UNION ALL SELECT 3, 'High Risk rows', h, round(h / k * 100, 6) FROM n
-        UNION ALL SELECT 4, 'Medium Risk rows', m, round(m / k * 100, 6) FROM n
-        UNION ALL SELECT 5, 'Low Risk rows', l, round(l / k * 100, 6) FROM n
-        UNION ALL SELECT 6, 'Prevention hotspots', p, NULL FROM n
-        UNION ALL SELECT 7, 'Product hotspots', q, NULL FROM n
-        UNION ALL SELECT 8, 'Acquisition hotspots', z, NULL FROM n""",
+        SELECT 1 AS position, 'Total station-period rows' AS metric, a AS value, NULL AS pct, 'mode=multiple' AS notes FROM n
+        UNION ALL SELECT 2, 'Credible rows (>={MIN_TRIPS:,} trips)', k, round(k / a * 100, 6), 'Enough volume to trust risk ranking' FROM n
+        UNION ALL SELECT 3, 'High Risk rows', h, round(h / k * 100, 6), 'Premium pricing / targeted prevention' FROM n
+        UNION ALL SELECT 4, 'Medium Risk rows', m, round(m / k * 100, 6), 'Standard pricing' FROM n
+        UNION ALL SELECT 5, 'Low Risk rows', l, round(l / k * 100, 6), 'Discount / acquisition-friendly' FROM n
+        UNION ALL SELECT 6, 'Prevention hotspots', p, NULL, 'High exposure + high risk → safety pilots' FROM n
+        UNION ALL SELECT 7, 'Product hotspots', q, NULL, 'High exposure → strong sales reach' FROM n
+        UNION ALL SELECT 8, 'Acquisition hotspots', z, NULL, 'High exposure + low risk → easy wins' FROM n""",
 )
 def _(v):
     return report.executive_summary(v.stored_score(), MIN_TRIPS)

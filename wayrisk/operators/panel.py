@@ -157,6 +157,13 @@ def filled_history(df: DataFrame) -> DataFrame:
     return df.withColumn("y_work", F.coalesce("y_trips", "station_month_mean"))
 
 
+def latest_rows(df: DataFrame, key: Sequence[str] = tuple(PANEL_KEY), order: Sequence[str] = ("date_index",)) -> DataFrame:
+    """Last row of every key, by an aggregate (no sort of the key's rows)."""
+    rest = [c for c in df.columns if c not in key]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    return df.groupBy(*key).agg(last).select(*key, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
 def mae(y: Column, p: Column) -> Column:
     return F.avg(F.abs(y - p))
 

@@ -16,7 +16,7 @@ from wayrisk.operators.clusters import density_clusters
 from wayrisk.operators.filters import credible
 from wayrisk.operators.ordering import medians, percentiles
 from wayrisk.operators.shares import group_shares
-from wayrisk.schemas import RATE_SCALE, TIERS
+from wayrisk.schemas import RATE_SCALE, SUMMARY_NOTES, TIERS
 from wayrisk.session import small_side
 
 EB = "eb_risk_rate_per_100k_trips"
@@ -335,6 +335,19 @@ def where_reach(scorecard: DataFrame, n: int = 20) -> DataFrame:
     return drop_boolean_columns(ordered_subset(_top(scorecard, n, "exposure_trips"), REACH_COLUMNS))
 
 
+def lowest_exposure(rows: DataFrame, n: int = 10, trips: str = "exposure_trips") -> DataFrame:
+    """Diagnostic: the rows with the fewest trips."""
+    return rows.orderBy(trips, *[c for c in ("mode", "start_station_id") if c in rows.columns]).limit(n)
+
+
+def plain_metrics(risk: DataFrame, radius: str | int = "auto") -> DataFrame:
+    """Crashes as percent of trips, and trips per crash (null without crashes)."""
+    count = F.col(crash_column(choose_radius(radii_in_columns(risk.columns), radius)))
+    return risk.withColumns(
+        {"crash_rate_pct": X.ratio(count, F.col("trips"), 100.0), "trips_per_crash": X.ratio(F.col("trips"), count)}
+    )
+
+
 def where_by_proxy(scorecard: DataFrame, n: int = 20) -> DataFrame:
     """Older form: stations with a risk proxy first, then the best priority column there is."""
     by = next(c for c in ("eb_priority_score", "priority_score", "exposure_trips") if c in scorecard.columns)
@@ -367,7 +380,7 @@ def run_summary(by_year: DataFrame, scorecard: DataFrame) -> DataFrame:
 
 
 def executive_summary(scorecard: DataFrame, min_trips: int = 5000, include_lowest: bool = True) -> DataFrame:
-    """Rows of (position, metric, value, pct): totals, credible rows, tiers and hotspots.
+    """Rows of (position, metric, value, pct, notes): totals, credible rows, tiers and hotspots.
 
     ``pct`` is of all rows for credible rows and of credible rows for tiers.
     """
@@ -376,22 +389,26 @@ def executive_summary(scorecard: DataFrame, min_trips: int = 5000, include_lowes
     is_credible = F.lower("credibility_flag") == "credible"
     tier = X.risk_tier(F.col("risk_index_pct"), include_lowest)
     count_if = lambda c: F.count(F.when(c, 1))
-    measures: list[tuple[str, Column, str | None]] = [
-        ("Total station-period rows", F.count(F.lit(1)), None),
-        (f"Credible rows (>={min_trips:,} trips)", count_if(is_credible), "_0"),
-        *[(f"{t} rows", count_if(is_credible & (tier == t)), "_1") for t in reversed(TIERS)],
-        ("Prevention hotspots", count_if(X.truthy(F.col("prevention_hotspot"))), None),
-        ("Product hotspots", count_if(X.truthy(F.col("product_hotspot"))), None),
-        ("Acquisition hotspots", count_if(X.truthy(F.col("acquisition_hotspot"))), None),
+    notes = SUMMARY_NOTES
+    measures: list[tuple[str, Column, str | None, str | None]] = [
+        ("Total station-period rows", F.count(F.lit(1)), None, None),
+        (f"Credible rows (>={min_trips:,} trips)", count_if(is_credible), "_0", notes["credible"]),
+        *[(f"{t} rows", count_if(is_credible & (tier == t)), "_1", notes[t]) for t in reversed(TIERS)],
+        *[
+            (f"{kind.capitalize()} hotspots", count_if(X.truthy(F.col(f"{kind}_hotspot"))), None, notes[kind])
+            for kind in ("prevention", "product", "acquisition")
+        ],
     ]
-    one = scorecard.agg(*[m.alias(f"_{i}") for i, (_, m, _) in enumerate(measures)])
+    only_mode = F.when(F.min("mode") == F.max("mode"), F.min("mode")).otherwise("multiple")
+    one = scorecard.agg(*[m.alias(f"_{i}") for i, (_, m, _, _) in enumerate(measures)], only_mode.alias("_mode"))
     rows = [
         F.struct(
             F.lit(i + 1).alias("position"),
             F.lit(name).alias("metric"),
             F.col(f"_{i}").alias("value"),
             (X.ratio(F.col(f"_{i}"), F.col(base), 100.0) if base else F.lit(None).cast("double")).alias("pct"),
+            (F.lit(note) if note else F.concat(F.lit("mode="), F.col("_mode"))).alias("notes"),
         )
-        for i, (name, _, base) in enumerate(measures)
+        for i, (name, _, base, note) in enumerate(measures)
     ]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -161,3 +161,12 @@ ZONES = {
 }
 TIERS = ["Low Risk", "Medium Risk", "High Risk"]
 TIER_UPPER_BOUNDS = [33.0, 66.0, 100.0]
+SUMMARY_NOTES = {
+    "credible": "Enough volume to trust risk ranking",
+    "High Risk": "Premium pricing / targeted prevention",
+    "Medium Risk": "Standard pricing",
+    "Low Risk": "Discount / acquisition-friendly",
+    "prevention": "High exposure + high risk → safety pilots",
+    "product": "High exposure → strong sales reach",
+    "acquisition": "High exposure + low risk → easy wins",
+}
