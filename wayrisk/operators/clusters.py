@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayrisk.operators.ordering import ordered_counts
-from wayrisk.session import checkpointed
+from wayrisk.session import stored
 
 _CUTS = [4, 32, 256]  # cells per eps at each refinement
 
@@ -127,10 +127,10 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> Dat
     Each round takes the smallest root among the neighbours and then the root's own
     root, so long chains halve; rounds are cut by a reliable checkpoint.
     """
-    both = checkpointed(
+    both = stored(
         links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     )
-    labels = checkpointed(nodes.select("_node", F.col("_node").alias("_root")))
+    labels = stored(nodes.select("_node", F.col("_node").alias("_root")))
     for _ in range(max_rounds):
         near = (
             both.join(labels.withColumnRenamed("_node", "_b"), "_b")
@@ -141,7 +141,7 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> Dat
             "_node", F.col("_root").alias("_old"), F.least("_root", "_near").alias("_root")
         )
         hop = lowered.select(F.col("_node").alias("_root"), F.col("_root").alias("_next"))
-        moved = checkpointed(
+        moved = stored(
             lowered.join(hop, "_root").select("_node", "_old", F.least("_root", "_next").alias("_root"))
         )
         labels = moved.select("_node", "_root")
@@ -155,7 +155,7 @@ def density_clusters(df: DataFrame, key: str, lat: str = "station_lat", lng: str
     points = df.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(
         F.col(key).alias("_id"), F.col(lat).cast("double").alias("_lat"), F.col(lng).cast("double").alias("_lng")
     )
-    points = checkpointed(points)
+    points = stored(points)
     nodes, links = neighbour_links(points, eps)
     rooted = components(nodes, links).join(nodes, "_node")
     sizes = rooted.groupBy("_root").agg(F.sum("_n").alias("_size"))

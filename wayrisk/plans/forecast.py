@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wayrisk.functions import expr as X
 from wayrisk.functions.params import check_months, month_index, year_month
 from wayrisk.operators import panel as P
-from wayrisk.session import checkpointed
+from wayrisk.session import stored
 
 PREDICTION_COLUMNS = [
     "mode",
@@ -239,7 +239,7 @@ def forecast_demand(
     calendar: bool = False,
 ) -> list[ModeResult]:
     """Evaluate every mode.  Features of all modes come from one plan, stored once."""
-    rows = checkpointed(labelled_rows(P.station_panel(exposure), horizon, past_only, calendar))
+    rows = stored(labelled_rows(P.station_panel(exposure), horizon, past_only, calendar))
     modes = sorted(r[0] for r in rows.select("mode").distinct().collect())
     return [
         evaluate_mode(
@@ -284,7 +284,7 @@ def forecast_future(
     months: Sequence[int],
     years_ahead: int = 1,
     settings: TreeSettings = TreeSettings(),
-    checkpoint_every: int = 4,
+    store_every: int = 4,
 ) -> DataFrame:
     """Predict month by month beyond the data, feeding predictions back as history.
 
@@ -304,7 +304,7 @@ def forecast_future(
         }
     )
     features = [c for c in P.BASE_FEATURES if c in rows.columns]
-    rows = checkpointed(rows)
+    rows = stored(rows)
     last_months = {r[0]: r[1] for r in rows.groupBy("mode").agg(F.max("date_index")).collect()}
     out = None
     for mode, last in sorted(last_months.items()):
@@ -329,8 +329,8 @@ def forecast_future(
                 F.slice(F.concat(F.array("y_work"), "_past"), 1, _DEEPEST).alias("_past"),
                 F.col("y_pred_next_month").alias("y_work"),
             )
-            if step % checkpoint_every == 0 or at + 1 in wanted:
-                carried = checkpointed(carried)
+            if step % store_every == 0 or at + 1 in wanted:
+                carried = stored(carried)
             state = carried
             if at + 1 in wanted:
                 made = state.select(
