@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from wayrisk.functions import expr as X
 from wayrisk.functions.params import crash_column, rate_column
 from wayrisk.schemas import EARTH_RADIUS_M
+from wayrisk.session import checkpointed, stored
 
 SALT_POINTS = 200_000  # points of one cell handled by one salt
 MAX_SALTED_CELLS = 2_000  # the most crowded cells are split; any other holds < 1/2000 of the points
@@ -88,12 +89,17 @@ def count_within(
         .withColumn("_band", band)
     )
     cells = _cells_in_band(F.col("_band"), height)
-    points = points.withColumn("_cell", F.pmod(_cell(F.col("_clng"), cells), cells))
+    # stored: the crowding count and the join below read the same points, crashes are scanned once
+    points = stored(points.withColumn("_cell", F.pmod(_cell(F.col("_clng"), cells), cells)))
+
+    placed = stations.where(F.col("station_lat").isNotNull() & F.col("station_lng").isNotNull())
+    looked_up = placed.withColumn(
+        "_at", F.explode(_lookup_cells(F.col("station_lat"), F.col("station_lng"), widest, height))
+    ).withColumns({"_band": F.col("_at.band"), "_cell": F.col("_at.cell")}).drop("_at")
 
     on = [*same, "_band", "_cell"]
-    # At most MAX_SALTED_CELLS rows by construction, hence the broadcast.  The order is
-    # total, so both sides of the join below see the same cells split the same way.
-    crowded = F.broadcast(
+    # At most MAX_SALTED_CELLS rows by construction, hence the broadcast below.
+    crowded = checkpointed(
         points.groupBy(*on)
         .agg(F.ceil(F.count(F.lit(1)) / salt_points).cast("int").alias("_salts"))
         .where(F.col("_salts") > 1)
@@ -101,22 +107,15 @@ def count_within(
         .limit(MAX_SALTED_CELLS)
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    points = points.join(crowded, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64("_clat", "_clng"), salts).cast("int")
-    ).drop("_salts")
-
-    placed = stations.where(F.col("station_lat").isNotNull() & F.col("station_lng").isNotNull())
-    looked_up = (
-        placed.withColumn(
-            "_at",
-            F.explode(_lookup_cells(F.col("station_lat"), F.col("station_lng"), widest, height)),
+    if crowded.isEmpty():
+        points, looked_up = (df.withColumn("_salt", F.lit(0)) for df in (points, looked_up))
+    else:
+        points = points.join(F.broadcast(crowded), on, "left").withColumn(
+            "_salt", F.pmod(F.xxhash64("_clat", "_clng"), salts).cast("int")
+        )
+        looked_up = looked_up.join(F.broadcast(crowded), on, "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
         )
-        .withColumns({"_band": F.col("_at.band"), "_cell": F.col("_at.cell")})
-        .drop("_at")
-        .join(crowded, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
     # The pair tests are the costly part, and station rows are few bytes: without a fixed
     # number of partitions AQE would pack them into one task.
     width = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -83,14 +83,12 @@ def risk_signal(df: DataFrame, groups: Sequence[str], rate: str, exposure: str,
 
 
 # --- exact Poisson bounds --------------------------------------------------
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
 def poisson_cdf(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """P(X <= k) for Poisson means, by the shorter tail's series around the mode."""
     k, mean = np.asarray(k, float), np.asarray(mean, float)
     safe = np.maximum(mean, 1e-300)
-    at_k = np.exp(k * np.log(safe) - safe - _lgamma(k + 1))
+    log_factorial = np.vectorize(math.lgamma, otypes=[float])(k + 1)
+    at_k = np.exp(k * np.log(safe) - safe - log_factorial)
     # lower tail p(k) + p(k-1) + ... when k is below the mean, else the upper tail p(k+1) + ...
     below = k < safe
     term, total, step = at_k.copy(), np.where(below, at_k, 0.0), 0
