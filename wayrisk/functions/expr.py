@@ -76,14 +76,14 @@ def timestamp_text(c: Column) -> Column:
     t = F.regexp_replace(t, r"\s+UTC$", "")
     t = F.regexp_replace(t, r"([+-]\d{2}):(\d{2})$", "$1$2")
     t = F.regexp_replace(t, r"\.\d+(Z|[+-]\d{4})?$", "$1")
-    local = [F.try_to_timestamp(t, F.lit(p)) for p in TIMESTAMP_PATTERNS if not p.endswith("xx")]
-    # an instant with an offset: its UTC wall clock
-    shifted = [
-        F.to_utc_timestamp(F.try_to_timestamp(t, F.lit(p)), F.current_timezone())
-        for p in TIMESTAMP_PATTERNS
-        if p.endswith("xx")
-    ]
-    return F.coalesce(*local, *shifted).cast("timestamp_ntz")
+    # The shape picks the one layout to parse by: a failing parse costs an exception per row.
+    out = None
+    for pattern, shape in TIMESTAMP_PATTERNS.items():
+        parsed = F.try_to_timestamp(t, F.lit(pattern))
+        if pattern.endswith("xx"):  # an instant with an offset: its UTC wall clock
+            parsed = F.to_utc_timestamp(parsed, F.current_timezone())
+        out = F.when(t.rlike(shape), parsed) if out is None else out.when(t.rlike(shape), parsed)
+    return out.cast("timestamp_ntz")
 
 
 def jc_station(station_id: Column) -> Column:

@@ -130,16 +130,16 @@ JC_PREFIXES = ["JC", "HB"]
 # Inclusive boxes: lat_min, lat_max, lng_min, lng_max.
 JC_INGEST_BOX = (40.66, 40.78, -74.10, -74.00)
 JC_STATION_BOX = (40.6990, 40.7490, -74.0778, -74.0278)
-# Timestamp layouts tried in order.
-TIMESTAMP_PATTERNS = [
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d H:m:sxx",
-    "yyyy-M-d'T'H:m:sxx",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
-]
+# Timestamp layouts in order, each with the shape of the texts worth parsing by it.
+TIMESTAMP_PATTERNS = {
+    "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "yyyy-M-d'T'H:m:s": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$",
+    "yyyy-M-d'T'H:m:s'Z'": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}Z$",
+    "yyyy-M-d H:m:sxx": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}[+-]\d{4}$",
+    "yyyy-M-d'T'H:m:sxx": r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}[+-]\d{4}$",
+    "M/d/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "M/d/yyyy H:m": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$",
+}
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 COMMUTER_HOURS = [7, 8, 9, 16, 17, 18, 19]
 EARTH_RADIUS_M = 6_371_000.0
