@@ -41,3 +41,56 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     read = token_files.round_trip(table(spark, folder, "documents"), path, END_ID)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import url_rules
+
+    return url_rules.judge_urls(table(spark, folder, "pages"), keep=["page_id"])
+
+
+def _op5_sql() -> str:
+    from wayrisk.llm import url_rules
+
+    def cases(value) -> str:
+        rules = sorted(url_rules.HOST_RULES, key=lambda r: (-len(r.name), r.name))
+        fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+        return "CASE " + " ".join(f"WHEN {fits.format(r.host, r.path)} THEN '{value(r)}'" for r in rules) + " END"
+
+    def any_of(allow: bool) -> str:
+        return "(" + " OR ".join(f"regexp_matches(low, '{p.regex}', 's')" for p in url_rules.PATTERN_RULES if p.allow == allow) + ")"
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH parts AS (
+      SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
+        CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    hosts AS (SELECT page_id, low, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM parts),
+    places AS (SELECT page_id, low, translate(raw_host, '{upper}', '{lower}') AS host,
+        regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM hosts)
+    SELECT page_id, host, path, {cases(lambda r: r.name)} AS rule,
+      coalesce({cases(lambda r: 'allow' if r.allow else 'block')},
+        CASE WHEN NOT {any_of(True)} AND {any_of(False)} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM places"""
+
+
+SQL["op5_url_filter"] = _op5_sql()
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import license_scan
+
+    found = license_scan.scan(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "duties")
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import language_id
+
+    docs = table(spark, folder, "documents")
+    learned = language_id.fit(docs.where(~language_id.held_out() & F.col("doc_id").isNotNull()))
+    held = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
+    return language_id.classify(held, learned, keep=["doc_id", "held_out"])
