@@ -121,33 +121,49 @@ def neighbour_links(points: DataFrame, eps: float) -> tuple[DataFrame, DataFrame
     return nodes.select(F.col("_cell").alias("_node"), "_n"), links
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Smallest node of each node's connected component (``_node, _root``).
 
-    Each round takes the smallest root among the neighbours and then the root's own
-    root, so long chains halve; rounds are cut by a reliable checkpoint.
+    Every round hooks each node onto its smallest neighbour, follows the hooks to their end
+    by repeated doubling, and contracts the links to what is left between the ends.  A
+    component loses at least half of its nodes every other round, whatever its shape; the
+    rounds end when no link is left.  Every round is written as a table.
     """
-    both = stored(
-        links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-    )
-    labels = stored(nodes.select("_node", F.col("_node").alias("_root")))
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnRenamed("_node", "_b"), "_b")
-            .groupBy(F.col("_a").alias("_node"))
-            .agg(F.min("_root").alias("_near"))
-        )
-        lowered = labels.join(near, "_node", "left").select(
-            "_node", F.col("_root").alias("_old"), F.least("_root", "_near").alias("_root")
-        )
-        hop = lowered.select(F.col("_node").alias("_root"), F.col("_root").alias("_next"))
-        moved = stored(
-            lowered.join(hop, "_root").select("_node", "_old", F.least("_root", "_next").alias("_root"))
+    edges = stored(links.where("_a != _b").select("_a", "_b"))
+    rounds = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+        hooks = both.groupBy(F.col("_a").alias("_node")).agg(F.least("_node", F.min("_b")).alias("_root"))
+        hooks = _followed(stored(hooks))
+        rounds.append(hooks)
+        a = hooks.select(F.col("_node").alias("_a"), F.col("_root").alias("_ra"))
+        b = hooks.select(F.col("_node").alias("_b"), F.col("_root").alias("_rb"))
+        edges = stored(
+            edges.join(a, "_a").join(b, "_b").where("_ra != _rb").select(F.col("_ra").alias("_a"), F.col("_rb").alias("_b")).distinct()
         )
-        labels = moved.select("_node", "_root")
-        if moved.where(F.col("_old") != F.col("_root")).limit(1).count() == 0:
-            return labels
-    raise RuntimeError("components did not settle")
+    ends = None  # where the nodes of a round end after all later rounds
+    for hooks in reversed(rounds):
+        ends = hooks if ends is None else stored(_hop(hooks, ends))
+    if ends is None:
+        return nodes.select("_node", F.col("_node").alias("_root"))
+    return nodes.join(ends, "_node", "left").select("_node", F.coalesce("_root", "_node").alias("_root"))
+
+
+def _hop(hooks: DataFrame, then: DataFrame) -> DataFrame:
+    """``hooks`` with each root replaced by its own root in ``then``, if it has one there."""
+    further = then.select(F.col("_node").alias("_root"), F.col("_root").alias("_end"))
+    return hooks.join(further, "_root", "left").select("_node", F.coalesce("_end", "_root").alias("_root"))
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """Hooks to the end of each chain of hooks; every pass doubles the steps taken."""
+    while True:
+        further = hooks.select(F.col("_node").alias("_root"), F.col("_root").alias("_end"))
+        moved = stored(hooks.join(further, "_root").select("_node", "_root", "_end"))
+        settled = moved.where("_root != _end").isEmpty()
+        hooks = moved.select("_node", F.col("_end").alias("_root"))
+        if settled:
+            return hooks
 
 
 def density_clusters(df: DataFrame, key: str, lat: str = "station_lat", lng: str = "station_lng", eps: float = 0.01) -> DataFrame:
