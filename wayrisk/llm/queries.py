@@ -22,6 +22,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import simhash_dedup
+
+    found = simhash_dedup.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
