@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wayrisk.llm.common import kept_in_worker, map_column, open_store, shared_folder, written
 
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 800_000
 BLOCK_IDS = 1 << 20  # a block ends after the document that reaches this
 FILE_IDS = 1 << 26  # a file ends after the block that reaches this
 NULL_KEY = -(1 << 63)
@@ -98,7 +98,8 @@ class WordTokenizer:
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "\t" not in w] if self.tab is not None else []
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            ids = self._ids("".join(["\t " + w for w in some]))
+            coded = self.library.encode_batch_fast(["".join(["\t " + w for w in some])], add_special_tokens=False)
+            ids = np.array(coded[0].ids, self.kind)
             ends = np.append(np.flatnonzero(ids == self.tab), len(ids)).tolist()
             if len(ends) != len(some) + 1:  # a tab inside a special token: one by one
                 continue
@@ -130,7 +131,7 @@ def tokenized(docs: DataFrame, definition: str, end_id: int, text: str = "text",
         words = kept_in_worker(("words", definition), lambda: WordTokenizer(definition, kind))
         return lambda texts: [words.encode(texts, end_id)]
 
-    ordered = docs.select(key, text).repartitionByRange(key, text).sortWithinPartitions(key, text)
+    ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
     return map_column(ordered, [key], text, start, [("ids", "binary", pa.binary())])
 
 
