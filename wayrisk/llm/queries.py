@@ -94,6 +94,23 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "duties")
 
 
+@query
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import quality_rules
+
+    docs = table(spark, folder, "documents")
+    trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.judge(docs, quality_rules.bucket_weights(docs, trusted), keep=["doc_id"])
+
+
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import warc
+
+    found = warc.round_trip(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from wayrisk.llm import language_id
