@@ -86,6 +86,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 100_000
+
+
+def checked_side(df: DataFrame, name: str = "side", max_rows: int = SMALL_ROWS) -> DataFrame:
+    """A side of a join, written as a table and broadcast only if it has few rows.
+
+    Beyond ``max_rows`` the join is an ordinary one, which splits skewed partitions.
+    """
+    rows = written(df, name)
+    return F.broadcast(rows) if rows.count() <= max_rows else rows
+
+
 def open_store(uri: str):
     """Arrow file system and path of a URI; works on the driver and in tasks."""
     from pyarrow import fs

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayrisk.llm.common import checked_side
+
 SPACES = " \t\n\u000b\f\r"
 
 
@@ -46,7 +48,7 @@ def words_of(text: str) -> Column:
     )
 
 
-def _pairs(hashes: Column, width: int) -> Column:
+def window_hashes(hashes: Column, width: int) -> Column:
     """Hashes of runs of ``width`` words, from the words' hashes."""
     at = [lambda i, k=k: F.get(hashes, i + k) for k in range(width)]
     return F.when(F.size(hashes) < width, F.array().cast("array<bigint>")).otherwise(
@@ -97,7 +99,7 @@ def prepared(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def n_grams(hashes: str, buckets: int) -> Column:
     """Buckets of a document's words and pairs of words."""
-    return F.transform(F.concat(F.col(hashes), _pairs(F.col(hashes), 2)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return F.transform(F.concat(F.col(hashes), window_hashes(F.col(hashes), 2)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, settings: Settings = Settings(), text: str = "text", key: str = "doc_id") -> list[float]:
@@ -106,9 +108,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, settings: Settings = Set
     ``trusted`` has the keys of the trusted documents.  All documents are counted; what reaches
     the driver is one row per bucket.  Without trusted documents every weight is 0.
     """
-    from wayrisk.session import small_side
-
-    marked = docs.join(small_side(trusted.select(key).distinct()).withColumn("trusted", F.lit(1)), key, "left")
+    marked = docs.join(checked_side(trusted.select(key).distinct(), "trusted").withColumn("trusted", F.lit(1)), key, "left")
     grams = prepared(marked, text, ["trusted"]).select("trusted", F.explode(n_grams("hashes", settings.buckets)).alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
     raw, target = [settings.smoothing] * settings.buckets, [settings.smoothing] * settings.buckets
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, weights: list[float], settings: Settings = Settings()
     keep = docs.columns if keep is None else keep
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to a constant
     lines = F.filter(F.split("text", "\n"), lambda line: _trimmed(line) != "")
-    grams = prepared(docs, text, keep).select("*", n_grams("hashes", settings.buckets).alias("grams"), _pairs(F.col("hashes"), 3).alias("windows"))
+    grams = prepared(docs, text, keep).select("*", n_grams("hashes", settings.buckets).alias("grams"), window_hashes(F.col("hashes"), 3).alias("windows"))
     total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
     counted = grams.select(
         *keep,

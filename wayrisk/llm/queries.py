@@ -22,6 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import decontaminate
+
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from wayrisk.llm import simhash_dedup
