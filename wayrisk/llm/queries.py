@@ -110,6 +110,20 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.bucket_weights(docs, trusted), keep=["doc_id"])
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import suffix_dedup
+
+    found = suffix_dedup.repeated(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     from wayrisk.llm import warc
