@@ -239,11 +239,12 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", keep: list[str
     return map_column(encoded, keep, ids, start, [("decoded", "string", pa.string())])
 
 
-def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows."""
+def digests(coded: DataFrame, key: str = "doc_id", more: list[str] | None = None) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows, and columns ``more``."""
     return coded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(more or []),
     )
