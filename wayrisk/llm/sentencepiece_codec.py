@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from wayrisk.llm.common import Memo, int_lists, kept_in_worker, map_column
 
 SPACE = "▁"
-SEGMENTS_REMEMBERED = 400_000  # in each of two generations
+SEGMENTS_REMEMBERED = 250_000  # in each of two generations
 LONGEST_REMEMBERED = 64
 LONGEST_PLAIN_MERGE = 40
 
@@ -118,7 +118,7 @@ class PieceEncoder:
         across = any(SPACE in p.lstrip(SPACE) for p in model.ids)
         self.cut = re.compile("(?s).+" if across else " +[^ \n]*|[^ \n]+|\n" if "\n" not in self.within else " +[^ ]*|[^ ]+")
         self.shorter = Memo(self._shorter)
-        self.fits = Memo(self._fits)
+        self.fits = Memo(self._fits, 150_000)
         self.segment_ids = Memo(self._segment_ids, SEGMENTS_REMEMBERED, LONGEST_REMEMBERED)
 
     def encode(self, text: str | None) -> bytes:
