@@ -35,7 +35,9 @@ def map_column(
 
     ``start()`` is called once a task and returns a function from a list of values
     (null as None) to one list or Arrow array per field (name, Spark type, Arrow type).
+    Columns of ``keep`` with the name of a field give way to it.
     """
+    keep = [c for c in keep if c not in {n for n, _, _ in fields}]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{n}` {t}" for n, t, _ in fields])
     kept = len(keep)
 

@@ -92,9 +92,9 @@ def repeated_words(windows: Column, width: int = 3) -> Column:
 
 
 def prepared(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` plus ``text, words, hashes`` (of the words)."""
-    split = docs.select(*keep, F.col(text).alias("text"), words_of(text).alias("words"))
-    return split.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    """``keep`` plus ``_text, _words, _hashes`` (of the words)."""
+    split = docs.select(*keep, F.col(text).alias("_text"), words_of(text).alias("_words"))
+    return split.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
 
 
 def n_grams(hashes: str, buckets: int) -> Column:
@@ -108,9 +108,9 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, settings: Settings = Set
     ``trusted`` has the keys of the trusted documents.  All documents are counted; what reaches
     the driver is one row per bucket.  Without trusted documents every weight is 0.
     """
-    marked = docs.join(checked_side(trusted.select(key).distinct(), "trusted").withColumn("trusted", F.lit(1)), key, "left")
-    grams = prepared(marked, text, ["trusted"]).select("trusted", F.explode(n_grams("hashes", settings.buckets)).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
+    marked = docs.join(checked_side(trusted.select(key).distinct(), "trusted").withColumn("_trusted", F.lit(1)), key, "left")
+    grams = prepared(marked, text, ["_trusted"]).select("_trusted", F.explode(n_grams("_hashes", settings.buckets)).alias("bucket"))
+    counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")).collect()
     raw, target = [settings.smoothing] * settings.buckets, [settings.smoothing] * settings.buckets
     for r in counted:
         raw[r["bucket"]] += r["raw"]
@@ -124,21 +124,23 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, settings: Settings = Set
 def judge(docs: DataFrame, weights: list[float], settings: Settings = Settings(), text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` plus the counts, ``score``, ``base_failed`` and ``kept`` of every whole text.
 
-    Null texts have no words and fail.  A text without n-grams scores 0.
+    Null texts have no words and fail.  A text without n-grams scores 0.  Columns of ``keep``
+    with these names give way; names that begin with ``_`` are reserved.
     """
-    keep = docs.columns if keep is None else keep
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to a constant
-    lines = F.filter(F.split("text", "\n"), lambda line: _trimmed(line) != "")
-    grams = prepared(docs, text, keep).select("*", n_grams("hashes", settings.buckets).alias("grams"), window_hashes(F.col("hashes"), 3).alias("windows"))
-    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
+    lines = F.filter(F.split("_text", "\n"), lambda line: _trimmed(line) != "")
+    grams = prepared(docs, text, keep).select("*", n_grams("_hashes", settings.buckets).alias("_grams"), window_hashes(F.col("_hashes"), 3).alias("_windows"))
+    total = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
     counted = grams.select(
         *keep,
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.coalesce(F.regexp_count("text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
-        F.when(F.col("text").isNull(), 0).otherwise(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"),
-        F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0).alias("score"),
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.coalesce(F.regexp_count("_text", F.lit("[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
+        F.when(F.col("_text").isNull(), 0).otherwise(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("_windows")).cast("long").alias("n_repeat_words"),
+        F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < settings.min_words) | (100 * F.col("n_repeat_words") > settings.max_repeat_percent * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= settings.min_score))

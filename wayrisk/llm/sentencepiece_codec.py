@@ -161,12 +161,13 @@ class PieceEncoder:
 
     def _backtrack(self, text: str) -> list[str]:
         n, search, fits = len(text), self.matches.iter_long, self.fits
-        failed, out, at = 0, [], 0  # failed: bit k set if no valid tokens lead on from k
+        failed = bytearray((n >> 3) + 1)  # bit k is set if no valid tokens lead on from k
+        out, at = [], 0
         ahead = search(text)  # longest pieces from ``at`` on
         piece = next(ahead)[1]
         while True:
             end = at + len(piece)
-            if not failed >> end & 1 and (not out or fits[out[-1], piece]):
+            if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits[out[-1], piece]):
                 out.append(piece)
                 at = end
                 if at == n:
@@ -178,7 +179,7 @@ class PieceEncoder:
             ahead = None
             piece = self.shorter[piece]
             while not piece:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     return self.model.merged(text)
                 taken = out.pop()
