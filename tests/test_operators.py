@@ -58,7 +58,7 @@ def test_rates_need_trips(spark):
 
 
 # --- order statistics --------------------------------------------------------
-@pytest.mark.parametrize("sizes", [{}, {"bucket_values": 5, "max_buckets": 7}])
+@pytest.mark.parametrize("sizes", [{}, {"parts": 7}])
 def test_pct_rank_equals_pandas(spark, sizes):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame(
@@ -77,7 +77,7 @@ def test_pct_rank_equals_pandas(spark, sizes):
         np.testing.assert_allclose(got[name].to_numpy(float), want.to_numpy(), rtol=1e-12)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_values": 4, "max_buckets": 5}])
+@pytest.mark.parametrize("sizes", [{}, {"parts": 5}])
 def test_percentiles_equal_numpy(spark, sizes):
     rng = np.random.default_rng(5)
     values = np.where(rng.random(301) < 0.3, 1.0, rng.normal(size=301))
@@ -219,3 +219,23 @@ def test_clusters_match_brute_force(spark, n, spread):
     sizes = pd.Series(label).value_counts()
     number = {root: i for i, root in enumerate(sorted(r for r in sizes.index if sizes[r] > 1))}
     assert got == {k: number.get(root, -1) for k, root in label.items()}
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_null_groups_and_null_keys_are_ranked(spark, parts):
+    rows = [(k, None if k % 2 else "a", float(k % 5)) for k in range(20)] + [(None, "a", 9.0)]
+    df = spark.createDataFrame(rows, "k int, g string, v double")
+    got = ordering.with_pct_rank(df, ["g"], {"p": "v"}, ["k"], parts=parts).collect()
+    assert len(got) == 21 and all(r.p is not None for r in got)
+    assert [r.p for r in got if r.k is None] == [100.0]
+    middle = {r.g: r.m for r in ordering.percentiles(df, ["g"], "v", {"m": 0.5}, parts=parts).collect()}
+    assert middle == {None: 2.0, "a": 2.0}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_chains_settle(spark, shuffled):
+    ids = random.Random(5).sample(range(2000), 2000) if shuffled else [0, *range(1999, 0, -1)]
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "_a long, _b long")
+    nodes = spark.createDataFrame([(k,) for k in [*ids, 5000]], "_node long")
+    roots = {r._node: r._root for r in clusters.components(nodes, links).collect()}
+    assert roots.pop(5000) == 5000 and set(roots.values()) == {0} and len(roots) == 2000

@@ -147,7 +147,7 @@ def _(v):
         "mode", "trip_no", F.when(F.col("trip_no") % 3 == 0, 0).otherwise(F.col("trip_no") % 1440).alias("minute")
     )
     ranked = with_pct_rank(
-        rows, ["mode"], {"pct_rank": "minute"}, key=["trip_no"], bucket_values=100, max_buckets=50
+        rows, ["mode"], {"pct_rank": "minute"}, key=["trip_no"], parts=50
     )
     return ranked.select("mode", "trip_no", "pct_rank")
 
@@ -162,7 +162,7 @@ def _(v):
 
     rows = v.trips.select("year", "month", X.minutes_between(F.col("started_at"), F.col("ended_at")).alias("m"))
     return percentiles(
-        rows, ["year", "month"], "m", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, bucket_values=20, max_buckets=20
+        rows, ["year", "month"], "m", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, parts=20
     )
 
 

@@ -129,7 +129,8 @@ def report_tables(spark: SparkSession, run: str, radius: str = "auto", min_trips
     if by_year is not None:
         out["yearly_burden"] = report.yearly_burden(report.yearly_rates(by_year, radius, min_trips))
         out["crash_ratio_by_year"] = report.crash_ratio(by_year)
-    by_month = _load(spark, run, "scorecard_500m_year_month", optional=True)
+    chosen = next(r for r, c in found.items() if c is card)
+    by_month = _load(spark, run, f"scorecard_{chosen}m_year_month", optional=True)
     if by_month is not None:
         out["seasonality"] = report.seasonality(by_month, min_trips)
         out["yearly_distribution"] = report.yearly_distribution(by_month, min_trips)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.operators.ordering import ordered_counts
+from wayrisk.operators.ordering import matched, ordered_counts
 from wayrisk.session import stored
 
 _CUTS = [4, 32, 256]  # cells per eps at each refinement
@@ -102,7 +102,9 @@ def neighbour_links(points: DataFrame, eps: float) -> tuple[DataFrame, DataFrame
             "_a", "_b", F.col("a._cell").alias("_pa"), F.col("b._cell").alias("_pb"), "_sure"
         )
         links = links.unionByName(judged.where("_sure").select("_a", "_b"))
-        open_pairs = judged.where(~F.col("_sure")).drop("_sure")
+        # a pair with one sure pair of sub-cells is linked: nothing of it stays open
+        decided = judged.where("_sure").select("_a", "_b").distinct()
+        open_pairs = stored(judged.where(~F.col("_sure")).drop("_sure").join(decided, ["_a", "_b"], "left_anti"))
         side = eps / cut
         placed = (
             placed.withColumns({"_i": F.floor(F.col("_lat") / side), "_j": F.floor(F.col("_lng") / side)})
@@ -188,4 +190,4 @@ def density_clusters(df: DataFrame, key: str, lat: str = "station_lat", lng: str
         .select("_i", "_j", F.coalesce(F.col("_number"), F.lit(-1)).alias("cluster"))
     )
     found = points.select("_id", *cell_of).join(by_cell, ["_i", "_j"]).select(F.col("_id").alias(key), "cluster")
-    return df.join(found, key, "left")
+    return matched(df, found, [key], "left")

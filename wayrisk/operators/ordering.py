@@ -3,16 +3,17 @@
 A percentile rank or a median over a city-wide group is, written as a window or
 as ``percentile``, one task holding every row of the group.  Here the group is
 first reduced to its distinct values with counts, so ties, however many, are one
-row.  That reduced table is checkpointed: it is read several times, and computed
-doubles must not differ in their last bits between the reads.  If it is small, a
-window per group is safe.  If not, the values are cut into ordered buckets and
-running sums are taken inside a bucket and over the list of buckets only; bucket
-borders are a hash-chosen subset of the values, so they follow the distribution.
+row.  The values are dealt by range, running sums are taken inside a partition,
+and each partition starts from the sums of those before it.  The plan is the same
+at every size; the dealt table is checkpointed, since computed doubles must not
+differ in their last bits between reads.  Null groups are groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,62 +21,42 @@ from pyspark.sql.window import Window as W
 
 from wayrisk.session import checkpointed, small_side
 
-BUCKET_VALUES = 65_536  # distinct values one task orders
-MAX_BUCKETS = 1_000  # border values held per group
-MAX_BORDER_LISTS = 2_000  # groups whose border lists are broadcast (8 kB each)
 
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join on equal columns where null equals null.  ``small``: broadcast ``right`` if its checked size allows."""
+    names = {c: f"_on_{k}" for k, c in enumerate(on)}
+    twin = right.withColumnsRenamed(names)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return left.join(small_side(twin) if small else twin, same, how).drop(*names.values())
 
-def ordered_counts(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    bucket_values: int = BUCKET_VALUES,
-    max_buckets: int = MAX_BUCKETS,
-) -> DataFrame:
+
+def ordered_counts(df: DataFrame, groups: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
     """Distinct non-null values per group with their place in the order.
 
     Returns ``groups, value, n_equal, n_before, n_total``: rows with this value,
-    rows with a smaller one, and non-null rows in the group.
+    rows with a smaller one, and non-null rows in the group.  ``parts`` fixes the
+    number of ranges, which changes nothing but the work of a task.
     """
     groups = list(groups)
-    values = checkpointed(
-        df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    )
-    if values.count() <= bucket_values:
-        before = W.partitionBy(*groups).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        return values.select(
-            *groups,
-            value,
-            "n_equal",
-            F.coalesce(F.sum("n_equal").over(before), F.lit(0)).alias("n_before"),
-            F.sum("n_equal").over(W.partitionBy(*groups)).alias("n_total"),
-        )
-    sizes = values.groupBy(*groups).agg(
-        F.sum("n_equal").alias("n_total"), F.count(F.lit(1)).alias("_distinct")
-    )
-    step = F.greatest(F.lit(bucket_values), F.ceil(F.col("_distinct") / max_buckets))
-    borders = (
-        values.join(sizes.where(F.col("_distinct") > bucket_values), groups)
-        .where(F.pmod(F.xxhash64(value), step) == 0)
-        .groupBy(*groups)
-        .agg(F.sort_array(F.collect_set(value)).alias("_borders"))
-    )
-    bucket = F.coalesce(F.size(F.filter("_borders", lambda b: b <= F.col(value))), F.lit(0))
-    placed = (
-        values.join(small_side(sizes.join(borders, groups, "left"), MAX_BORDER_LISTS), groups)
-        .select(*groups, value, "n_equal", "n_total", bucket.alias("_bucket"))
-    )
-    within = W.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    across = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    values = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    order = [*groups, value]
+    dealt = values.repartitionByRange(parts, *order) if parts else values.repartitionByRange(*order)
+    placed = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
+    within = W.partitionBy(*groups, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*groups, "_bucket")
+        placed.groupBy(*groups, "_part")
         .agg(F.sum("n_equal").alias("_n"))
-        .select(*groups, "_bucket", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
+        .select(
+            *groups,
+            "_part",
+            F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"),
+            F.sum("_n").over(W.partitionBy(*groups)).alias("n_total"),
+        )
     )
-    return (
-        placed.withColumn("_inside", F.coalesce(F.sum("n_equal").over(within), F.lit(0)))
-        .join(offsets, [*groups, "_bucket"])
-        .select(*groups, value, "n_equal", (F.col("_offset") + F.col("_inside")).alias("n_before"), "n_total")
+    inside = placed.withColumn("_inside", F.coalesce(F.sum("n_equal").over(within), F.lit(0)))
+    return matched(inside, offsets, [*groups, "_part"]).select(
+        *groups, value, "n_equal", (F.col("_offset") + F.col("_inside")).alias("n_before"), "n_total"
     )
 
 
@@ -92,37 +73,37 @@ def _stacked(df: DataFrame, carried: Sequence[str], values: dict[str, Column | s
 
 
 def with_pct_rank(
-    df: DataFrame, groups: Sequence[str], ranks: dict[str, Column | str], key: Sequence[str], **sizes: int
+    df: DataFrame, groups: Sequence[str], ranks: dict[str, Column | str], key: Sequence[str], parts: int | None = None
 ) -> DataFrame:
     """Add average-tie percentile ranks, 0..100, nulls neither counted nor ranked.
 
     ``ranks`` maps a new column to the value it ranks within ``groups``.  ``key``
-    identifies a row.  All ranks share one pass: the values are stacked, ordered
-    together, and folded back to one row per key.  Give it stored rows where a value
-    is a computed double.
+    identifies a row and may be null.  All ranks share one pass: the values are stacked,
+    ordered together, and folded back to one row per key.  Heavy ties leave few distinct
+    values, which are broadcast.  Give it stored rows where a value is a computed double.
     """
     groups, key = list(groups), list(key)
     carried = list(dict.fromkeys([*groups, *key]))
     stacked = _stacked(df, carried, ranks)
-    places = ordered_counts(stacked, [*groups, "_metric"], "_value", **sizes)
+    places = ordered_counts(stacked, [*groups, "_metric"], "_value", parts)
     pct = (F.col("n_before") + (F.col("n_equal") + 1) / 2) / F.col("n_total") * 100.0
     ranked = (
-        stacked.join(places.select(*groups, "_metric", "_value", pct.alias("_pct")), [*groups, "_metric", "_value"])
+        matched(stacked, places.select(*groups, "_metric", "_value", pct.alias("_pct")), [*groups, "_metric", "_value"], small=True)
         .groupBy(*carried)
         .agg(*[F.max(F.when(F.col("_metric") == name, F.col("_pct"))).alias(name) for name in ranks])
     )
-    return df.join(ranked, carried, "left")
+    return matched(df, ranked, carried, "left")
 
 
 def percentiles(
-    df: DataFrame, groups: Sequence[str], value: str, points: dict[str, float], **sizes: int
+    df: DataFrame, groups: Sequence[str], value: str, points: dict[str, float], parts: int | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation: one row per group, one column per point."""
     groups = list(groups)
     by = groups or ["_all"]
     source = df if groups else df.withColumn("_all", F.lit(0))
     source = source.select(*by, F.col(value).cast("double").alias("_value"))
-    places = ordered_counts(source, by, "_value", **sizes)
+    places = ordered_counts(source, by, "_value", parts)
     first, after = F.col("n_before"), F.col("n_before") + F.col("n_equal")
 
     def at(position: Column) -> Column:

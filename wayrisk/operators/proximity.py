@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from wayrisk.functions import expr as X
 from wayrisk.functions.params import crash_column, rate_column
 from wayrisk.schemas import EARTH_RADIUS_M
-from wayrisk.session import checkpointed, stored
+from wayrisk.session import small_side, stored
 
 SALT_POINTS = 200_000  # points of one cell handled by one salt
-MAX_SALTED_CELLS = 2_000  # the most crowded cells are split; any other holds < 1/2000 of the points
 _SLACK = 1.0 + 1e-9  # keeps points exactly on a radius inside the looked-up cells
 
 
@@ -98,27 +97,25 @@ def count_within(
     ).withColumns({"_band": F.col("_at.band"), "_cell": F.col("_at.cell")}).drop("_at")
 
     on = [*same, "_band", "_cell"]
-    # At most MAX_SALTED_CELLS rows by construction, hence the broadcast below.
-    crowded = checkpointed(
+    crowded = small_side(
         points.groupBy(*on)
         .agg(F.ceil(F.count(F.lit(1)) / salt_points).cast("int").alias("_salts"))
         .where(F.col("_salts") > 1)
-        .orderBy(F.desc("_salts"), *on)
-        .limit(MAX_SALTED_CELLS)
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     if crowded.isEmpty():
         points, looked_up = (df.withColumn("_salt", F.lit(0)) for df in (points, looked_up))
     else:
-        points = points.join(F.broadcast(crowded), on, "left").withColumn(
+        points = points.join(crowded, on, "left").withColumn(
             "_salt", F.pmod(F.xxhash64("_clat", "_clng"), salts).cast("int")
         )
-        looked_up = looked_up.join(F.broadcast(crowded), on, "left").withColumn(
+        looked_up = looked_up.join(crowded, on, "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
         )
-    # The pair tests are the costly part, and station rows are few bytes: without a fixed
-    # number of partitions AQE would pack them into one task.
-    width = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The pair tests are the costly part, and station rows are few bytes: without a number of
+    # partitions AQE would pack them into one task.  The number follows the points.
+    least = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(least, -(-points.count() // salt_points))
     looked_up = looked_up.repartition(width, *on, "_salt").alias("s")
     chord = X.half_chord_sq(F.col("station_lat"), F.col("station_lng"), F.col("_clat"), F.col("_clng"))
     limits = {r: X.half_chord_limit(float(r)) for r in radii}
