@@ -1,8 +1,9 @@
 """Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks.
 
 A place of a document that shares a word shingle with a benchmark item gives a window of the
-item's size, aligned with it; any window of positive similarity is among these or overlaps
-one.  Each window has a SimHash of its shingles.  Fingerprints are cut into blocks: of two
+item's size, aligned with it.  Where words were put in or left out, shared places align in
+several ways, and the windows between these are taken as well: one of them is the best there
+is, since moving a window beyond them loses shingles and gains none.  Each window has a SimHash of its shingles.  Fingerprints are cut into blocks: of two
 within ``radius`` bits, at least one block differs in at most ``radius // blocks`` bits, so an
 item is filed under all values that near each of its blocks, and windows look their blocks up.
 All fingerprints within the radius are found that way; the exact weighted similarity of the
@@ -63,6 +64,13 @@ def shared_weight(left: Column, right: Column) -> Column:
     )
 
 
+def between(starts: Column, reach: Column) -> Column:
+    """Sorted starts, and all places between neighbours that are closer than ``reach``."""
+    steps = F.sequence(F.lit(0), F.size(starts) - 1)
+    here, after = lambda k: F.get(starts, k), lambda k: F.get(starts, k + 1)
+    return F.array_distinct(F.flatten(F.transform(steps, lambda k: F.when(after(k) - here(k) < reach, F.sequence(here(k), after(k))).otherwise(F.array(here(k))))))
+
+
 def _blocks(fp: str, settings: Settings) -> Column:
     """Array of (block, value)."""
     width = BITS // settings.blocks
@@ -96,7 +104,7 @@ def leaks(
     """``key, item_id, start_word, n_words, similarity, n_places``: documents that hold an item.
 
     A row per document and item whose best window reaches the similarity; ``start_word`` is
-    that window's first word (the first of the best), ``n_places`` counts the windows that
+    that window's first word (the first of the best that were looked at), ``n_places`` counts the windows that
     reach it.  A document shorter than the item is one window.  Documents and items without
     words match nothing, and rows with a null key are not searched.
     """
@@ -107,7 +115,7 @@ def leaks(
         return docs.select(key, F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_places")).where(F.lit(False))
 
     # places that share a shingle with an item, as aligned windows
-    index = known.select("width", "n_words", F.posexplode("grams").alias("item_at", "gram")).distinct()
+    index = known.select("item_id", "width", "n_words", F.posexplode("grams").alias("item_at", "gram")).distinct()
     hashed = docs.select(key, word_hashes(F.col("text")).alias("hashes"))
     counted = hashed.select(key, F.size("hashes").alias("n_doc"), *_grams_by_width(widths))
     # outer: for an inner explode the optimizer would test the arrays' sizes below, one more computation of each
@@ -116,8 +124,13 @@ def leaks(
     for more in each[1:]:
         placed = placed.unionByName(more)
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n_doc") - F.col("n_words")))
-    found = placed.join(checked_side(index), ["width", "gram"]).select(key, "width", "n_words", start.alias("start"))
-    windows = found.groupBy(key).agg(F.collect_set(F.struct("width", "n_words", "start")).alias("windows"))
+    found = placed.join(checked_side(index), ["width", "gram"]).select(key, "item_id", "width", "n_words", start.alias("start"))
+    aligned = found.groupBy(key, "item_id", "width", "n_words").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    windows = (
+        aligned.select(key, "width", "n_words", F.explode(between(F.col("starts"), F.col("n_words"))).alias("start"))
+        .groupBy(key)
+        .agg(F.collect_set(F.struct("width", "n_words", "start")).alias("windows"))
+    )
 
     # their fingerprints
     again = docs.join(checked_side(windows), key).select(key, word_hashes(F.col("text")).alias("hashes"), "windows")
