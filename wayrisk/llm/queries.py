@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayrisk.llm import sql_twins
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -140,3 +142,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     learned = language_id.fit(docs.where(~language_id.held_out() & F.col("doc_id").isNotNull()))
     held = docs.select("doc_id", "text", language_id.held_out().alias("held_out"))
     return language_id.classify(held, learned, keep=["doc_id", "held_out"])
+
+
+SQL.update(op1_decontaminate=sql_twins.OP1, op8_suffix_dedup=sql_twins.OP8, op9_warc=sql_twins.OP9)
