@@ -249,3 +249,12 @@ def test_too_few_months_train_only(spark):
     out = forecast.evaluate_mode(labelled, "nyc", forecast.TreeSettings(rounds=2, depth=2))
     assert out.predictions is None and "note" in out.metrics
     assert forecast.backtest(labelled, forecast.TreeSettings(), 6) == {"backtest_skipped": 1.0, "backtest_reason": 1.0}
+
+
+def test_renamed_station_has_one_panel_row_a_month(spark):
+    rows = [("m", 2023, 1, "s", "A", 2, 40.0), ("m", 2023, 1, "s", "B", 3, 42.0), ("m", 2023, 2, "s", "B", 7, 42.0)]
+    exposure = spark.createDataFrame(rows, "mode string, year int, month int, start_station_id string, start_station_name string, trips long, station_lat double")
+    panel = P.station_panel(exposure)
+    for calendar in (False, True):
+        got = [tuple(r) for r in P.with_label(panel, calendar=calendar).orderBy("month").select("month", "start_station_name", "y_trips", "station_lat", "y_label").collect()]
+        assert got == [(1, "B", 5.0, 41.0, 7.0), (2, "B", 7.0, 42.0, None)]

@@ -169,8 +169,10 @@ CTES |= {
           FROM run_month GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY mode, year ORDER BY months_covered DESC, trips DESC, run_tag) = 1""",
     "best_month": "SELECT m.* FROM run_month m SEMI JOIN best b USING (run_tag, mode, year)",
-    "panel": """SELECT mode, start_station_id AS station_id, start_station_name, year, month, year * 12 + month AS date_index,
-        trips AS y_trips, start_trips, end_trips, touchpoints, station_lat, station_lng FROM exposure""",
+    "panel": """SELECT mode, start_station_id AS station_id, max(start_station_name) AS start_station_name, year, month,
+        year * 12 + month AS date_index, CAST(sum(trips) AS DOUBLE) AS y_trips, CAST(sum(start_trips) AS DOUBLE) AS start_trips,
+        CAST(sum(end_trips) AS DOUBLE) AS end_trips, CAST(sum(touchpoints) AS DOUBLE) AS touchpoints,
+        avg(station_lat) AS station_lat, avg(station_lng) AS station_lng FROM exposure GROUP BY mode, start_station_id, year, month""",
     "features": """SELECT *, date_index + 1 AS label_date_index, lead(y_trips) OVER w AS y_label,
         sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos,
         avg(y_trips) OVER (PARTITION BY mode, station_id) AS station_mean,

@@ -222,16 +222,27 @@ def _(v):
     return forecast.all_predictions(results)
 
 
+def _each_mode(v):
+    """Labelled rows, and the modes they hold: models are fitted per mode."""
+    rows = checkpointed(forecast.labelled_rows(_panel(v)))
+    return rows, sorted(r["mode"] for r in rows.select("mode").distinct().collect())
+
+
 @query("mlf10_backtest")
 def _(v):
-    rows = checkpointed(forecast.labelled_rows(_panel(v)).where(F.col("mode") == "nyc"))
-    return v.spark.createDataFrame(sorted(forecast.backtest(rows, LIGHT, 2).items()), "metric string, value double")
+    rows, modes = _each_mode(v)
+    found = [(m, k, x) for m in modes for k, x in sorted(forecast.backtest(rows.where(F.col("mode") == m), LIGHT).items())]
+    return v.spark.createDataFrame(found, "mode string, metric string, value double")
 
 
 @query("mlf11_feature_importance")
 def _(v):
-    rows = checkpointed(forecast.labelled_rows(_panel(v)).where(F.col("mode") == "nyc"))
-    return forecast.evaluate_mode(rows, "nyc", LIGHT, backtest_months=0).importance
+    rows, modes = _each_mode(v)
+    own = [forecast.evaluate_mode(rows.where(F.col("mode") == m), m, LIGHT, backtest_months=0).importance for m in modes]
+    out = own[0]
+    for more in own[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query("mlf12_future_months")

@@ -34,7 +34,11 @@ BASE_FEATURES = [
 
 
 def station_panel(exposure: DataFrame) -> DataFrame:
-    """Typed panel rows from a station-exposure table under either naming."""
+    """Typed panel rows, one per station and month, from a station-exposure table under either naming.
+
+    A station that has several names in a month has one row: the sums, mean coordinates, and
+    the last name by alphabet.
+    """
     names = {"start_station_id": "station_id", "trips": "y_trips"}
     for old, new in names.items():
         if new not in exposure.columns and old in exposure.columns:
@@ -57,6 +61,13 @@ def station_panel(exposure: DataFrame) -> DataFrame:
         X.number("station_lng").alias("station_lng"),
         *[X.number(c).alias(c) for c in parts],
     ).dropna(subset=["mode", "station_id", "year", "month"])
+    df = df.groupBy("mode", "station_id", "year", "month").agg(
+        F.max("start_station_name").alias("start_station_name"),
+        F.sum("y_trips").alias("y_trips"),
+        F.avg("station_lat").alias("station_lat"),
+        F.avg("station_lng").alias("station_lng"),
+        *[F.sum(c).alias(c) for c in parts],
+    )
     return df.withColumn("date_index", X.month_no(F.col("year"), F.col("month")))
 
 
