@@ -107,7 +107,9 @@ def test_ragged_rows_are_set_aside(spark, folder):
 
 def test_ingest_writes_and_skips(spark, folder, tmp_path):
     out = str(tmp_path / "trips")
-    ingest(spark, folder, out, [2015, 2023], [1, 2, 3], compression="zstd")
+    damaged = ingest(spark, folder, out, [2015, 2023], [1, 2, 3], compression="zstd")
+    assert [(member, n) for _, member, n in damaged] == [("x/202301-city-tripdata_1.csv", 1)]
+    assert [r.corrupt for r in spark.read.parquet(f"{out}-quarantine").collect()] == ["short,row"]
     table = trips.read_trips(spark, out)
     rows = {r.ride_id: r for r in table.collect() if r.year == 2023}
     # legacy start outside the jersey prefixes, null end kept in nyc, junk, duplicates and other months gone

@@ -136,6 +136,11 @@ def test_run_tables_round_trip(spark, tmp_path):
         write_table(df, f"{tmp_path}/{tag}/trips_by_year", "csv")
     rows = tables.read_runs(spark, str(tmp_path), "trips_by_year", USAGE_YEAR, form="csv").collect()
     assert {(r.run_tag, r.year) for r in rows} == {("y2020_m1_modenyc", 2020), ("y2021_m1_modenyc", 2021)}
+    (tmp_path / "y2022_m1_modenyc" / "trips_by_year").mkdir(parents=True)
+    (tmp_path / "y2022_m1_modenyc" / "trips_by_year" / "part.csv").write_text("mode,year,trips\nnyc,2022,\n")
+    (tmp_path / "y2020_m1_modenyc" / "trips_by_year" / "more.csv").write_text("mode,year,trips\nnyc,,7\n")
+    rows = tables.read_runs(spark, str(tmp_path), "trips_by_year", USAGE_YEAR, form="csv").collect()
+    assert {(r.run_tag, r.year) for r in rows} == {("y2020_m1_modenyc", 2020), ("y2020_m1_modenyc", None), ("y2021_m1_modenyc", 2021)}
     assert tables.read_table(spark, str(tmp_path / "none"), optional=True) is None
     with pytest.raises(Exception):
         tables.read_table(spark, str(tmp_path / "none"))

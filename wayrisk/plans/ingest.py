@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayrisk.functions.params import check_ingest_request
 from wayrisk.operators.canonical import canonical_trips, older_trip_features
 from wayrisk.operators.filters import filter_network, plausible_duration, within_month
-from wayrisk.session import stored
+from wayrisk.session import staged, stored
 from wayrisk.sinks.partitions import without_existing_months, write_months
 from wayrisk.sources import archives as A
 
@@ -37,16 +37,30 @@ def ingest(
     force: bool = False,
     keep_null_times: bool = False,
     compression: str = "none",
-) -> None:
-    """Read the archives once, canonicalise, keep each network's own trips, write by month."""
+) -> list[tuple[str, str, int]]:
+    """Read the archives once, canonicalise, keep each network's own trips, write by month.
+
+    Rows that do not fit their header are written to the quarantine table beside the output
+    (``path, member, corrupt``) and counted per member in the returned rows.
+    """
     members = planned_members(spark, folder, years, months, mode)
     if not force:
         members = without_existing_months(members, out)
-    raw = A.read_members(members).where(F.col("corrupt").isNull())
-    trips = canonical_trips(raw.drop("path", "member", "corrupt"), headers="headers")
-    # stored: deciding the filter per source month and filtering both read it, unzipping is paid once
-    trips = stored(trips)
-    write_months(within_month(filter_network(trips), keep_null_times), out, compression)
+    # staged: the network filter and the quarantine read it again, unzipping is paid once
+    with staged(A.read_members(members)) as raw:
+        good = raw.where(F.col("corrupt").isNull()).drop("path", "member", "corrupt")
+        trips = canonical_trips(good, headers="headers")
+        write_months(within_month(filter_network(trips), keep_null_times), out, compression)
+        bad = raw.where(F.col("corrupt").isNotNull()).select("path", "member", "corrupt")
+        counts = bad.groupBy("path", "member").count().orderBy("path", "member").collect()  # a row per damaged member
+        if counts:
+            bad.write.mode("append").parquet(quarantine(out))
+    return [tuple(r) for r in counts]
+
+
+def quarantine(out: str) -> str:
+    """Where rows go that do not fit their header."""
+    return f"{out.rstrip('/')}-quarantine"
 
 
 def ingest_older_layer(spark: SparkSession, folder: str, out: str, months: Sequence[int] | None = None) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from wayrisk.functions.params import choose_radius, require_columns
 from wayrisk.operators.filters import select_mode, select_periods
+from wayrisk.session import small_side
 
 RUN_GLOB = "y*_mode*"
 
@@ -38,12 +39,17 @@ def read_runs(
 ) -> DataFrame:
     """One table of every run folder, tagged with the folder's name.
 
-    Runs without the table are not matched by the path, runs lacking needed columns
-    have nulls there and drop out.
+    Runs without the table are not matched by the path.  A run that lacks a needed column
+    (it reads as null in all its rows) is skipped whole; single nulls stay.
     """
     rows = read_table(spark, f"{root.rstrip('/')}/{RUN_GLOB}/{table}", schema, form=form)
     tag = F.regexp_extract(F.col("_metadata.file_path"), rf"/(y[^/]*_mode[^/]*)/{table}/", 1)
-    return rows.withColumn("run_tag", tag).dropna(subset=[c for c in needed if c in rows.columns])
+    tagged, wanted = rows.withColumn("run_tag", tag), [c for c in needed if c in rows.columns]
+    if not wanted:
+        return tagged
+    held = tagged.groupBy("run_tag").agg(*[F.count(c).alias(c) for c in wanted])
+    complete = held.where(F.least(*map(F.col, wanted)) > 0 if len(wanted) > 1 else F.col(wanted[0]) > 0)
+    return tagged.join(small_side(complete.select("run_tag")), "run_tag", "left_semi")
 
 
 def finest_risk(tables: dict[str, DataFrame | None], strict: bool = False) -> tuple[str, DataFrame]:
