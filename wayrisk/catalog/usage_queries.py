@@ -8,7 +8,13 @@ from wayrisk.catalog.registry import query, r6
 from wayrisk.operators import filters, shares, usage
 from wayrisk.plans import report, summaries
 
-YEARS = list(range(1995, 2002))
+TWIN_YEARS = list(range(1995, 2002))  # SQL must name its columns: the years of the test tables
+
+
+def _years(v) -> list[int]:
+    """Years of the trips, from the table that has one row per mode and year."""
+    found = v.usage["trips_by_year"].select("year").distinct().collect()
+    return sorted(r["year"] for r in found if r["year"] is not None)
 
 
 @query("agg1_trips_by_month", f"SELECT mode, year, month, trips, {r6('trips_per_day')} FROM by_month")
@@ -136,33 +142,33 @@ def _(v):
 @query(
     "agg32_month_by_year_pivot",
     "SELECT month, "
-    + ", ".join(f"CAST(sum(trips) FILTER (WHERE year = {y}) AS BIGINT) AS y{y}" for y in YEARS)
+    + ", ".join(f"CAST(sum(trips) FILTER (WHERE year = {y}) AS BIGINT) AS y{y}" for y in TWIN_YEARS)
     + " FROM by_month GROUP BY month",
 )
 def _(v):
-    return shares.pivot_years(v.usage["trips_by_month"], ["month"], "trips", YEARS)
+    return shares.pivot_years(v.usage["trips_by_month"], ["month"], "trips", _years(v))
 
 
 @query(
     "agg32_dow_by_year_pivot",
     "SELECT dow, dow_name, "
-    + ", ".join(f"CAST(sum(trips) FILTER (WHERE year = {y}) AS BIGINT) AS y{y}" for y in YEARS)
+    + ", ".join(f"CAST(sum(trips) FILTER (WHERE year = {y}) AS BIGINT) AS y{y}" for y in TWIN_YEARS)
     + " FROM by_dow GROUP BY ALL",
 )
 def _(v):
-    return shares.pivot_years(v.usage["trips_by_dow"], ["dow", "dow_name"], "trips", YEARS)
+    return shares.pivot_years(v.usage["trips_by_dow"], ["dow", "dow_name"], "trips", _years(v))
 
 
 @query(
     "agg32_dow_share_pivot",
     "SELECT dow_name, "
-    + ", ".join(f"round(max(p) FILTER (WHERE year = {y}), 6) AS y{y}" for y in YEARS)
+    + ", ".join(f"round(max(p) FILTER (WHERE year = {y}), 6) AS y{y}" for y in TWIN_YEARS)
     + """ FROM (SELECT year, dow_name, sum(trips) / sum(sum(trips)) OVER (PARTITION BY year) * 100 AS p
          FROM by_dow GROUP BY year, dow_name) GROUP BY dow_name""",
 )
 def _(v):
     table = report.dow_year_shares(v.usage["trips_by_dow"])
-    return shares.pivot_years(table, ["dow_name"], "pct_of_year", YEARS)
+    return shares.pivot_years(table, ["dow_name"], "pct_of_year", _years(v))
 
 
 @query(
@@ -198,7 +204,7 @@ def _(v):
 
 @query("win16_overlay_years", "SELECT * FROM by_year WHERE year IN (SELECT unnest([min(year), max(year)]) FROM by_year)")
 def _(v):
-    ends = report.overlay_years(YEARS)
+    ends = report.overlay_years(_years(v))
     return filters.select_periods(v.usage["trips_by_year"], years=ends)
 
 
