@@ -4,14 +4,16 @@ A place of a document that shares a word shingle with a benchmark item gives a w
 item's size, aligned with it.  Where words were put in or left out, shared places align in
 several ways, and the windows between these are taken as well: one of them is the best there
 is, since moving a window beyond them loses shingles and gains none.  Each window has a SimHash of its shingles.  Fingerprints are cut into blocks: of two
-within ``radius`` bits, at least one block differs in at most ``radius // blocks`` bits, so an
+within ``bits`` bits, at least one block differs in at most ``bits // blocks`` bits, so an
 item is filed under all values that near each of its blocks, and windows look their blocks up.
-All fingerprints within the radius are found that way; the exact weighted similarity of the
+All fingerprints within the radius are found that way.  The radius follows from the similarity,
+so that it turns away almost no window that reaches it; the exact weighted similarity of the
 shingles decides.  Everything is expressed in DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,17 +23,40 @@ from wayrisk.llm.common import checked_side, written
 from wayrisk.llm.quality_rules import window_hashes
 
 BITS = 64
+MISSED = 1e-4  # share of windows at the very similarity that the radius may turn away
+
+
+def safe_radius(similarity: float, blocks: int) -> int:
+    """Bits that fingerprints of windows as similar as this differ in, all but a share of ``MISSED``.
+
+    Equal-sized multisets of Jaccard similarity s have the cosine 2s / (1 + s) if no shingle is
+    repeated, and each bit differs with the probability angle / pi.  Rounded up to what the
+    blocks find at no more cost.
+    """
+    differs = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    radius, left = -1, 1.0
+    while left > MISSED and radius < BITS:
+        radius += 1
+        left -= math.comb(BITS, radius) * differs**radius * (1 - differs) ** (BITS - radius)
+    return min(BITS, radius // blocks * blocks + blocks - 1)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Words of a shingle, similarity that counts, bits two fingerprints may differ, blocks."""
+    """Words of a shingle, similarity that counts, bits two fingerprints may differ, blocks.
+
+    Without a radius it is the safe one of the similarity.
+    """
 
     words: int = 5
     similarity: float = 0.8
-    radius: int = 15
+    radius: int | None = None
     blocks: int = 4
 
+    @property
+    def bits(self) -> int:
+        return safe_radius(self.similarity, self.blocks) if self.radius is None else self.radius
+
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the words: runs of digits, letters and characters beyond ASCII, lower-cased.  None for null."""
@@ -141,13 +166,14 @@ def leaks(
 
     # items within the radius, by blocks
     width = BITS // settings.blocks
-    near = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= settings.radius // settings.blocks)
+    near = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= settings.bits // settings.blocks)
     filed = known.select("item_id", "width", "n_words", "grams", "item_fp", F.explode(_blocks("item_fp", settings)).alias("b"))
     filed = filed.select("*", F.explode(near).alias("m")).select(
         "item_id", "width", "n_words", "item_fp", "b.block", F.col("b.value").bitwiseXOR(F.col("m").cast("long")).alias("value")
     )
+    filed = checked_side(filed, "filed-items")  # thousands of rows an item: the optimizer would take it for small
     asked = windowed.select(key, "width", "n_words", "start", "fp", F.explode(_blocks("fp", settings)).alias("b")).select("*", "b.block", "b.value").drop("b")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= settings.radius
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= settings.bits
     candidates = asked.join(filed, ["block", "value", "width", "n_words"]).where(close).select(key, "width", "n_words", "start", "item_id").distinct()
 
     # exact similarity
