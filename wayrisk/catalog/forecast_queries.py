@@ -13,8 +13,8 @@ _PARTS = [f"{c}_lag_1" for c in P.COMPONENTS]
 _KEY = "mode, station_id, date_index"
 _SPLIT = """CASE WHEN label_date_index >= (SELECT max(label_date_index) FROM features WHERE y_label IS NOT NULL) THEN 'test'
     WHEN label_date_index >= (SELECT max(label_date_index) - 1 FROM features WHERE y_label IS NOT NULL) THEN 'val' ELSE 'train' END"""
-# small trees: these queries check the machinery, not the fit
-LIGHT = forecast.TreeSettings(rounds=3, depth=3, step=0.3)
+# the engine's own defaults
+SETTINGS = forecast.TreeSettings()
 
 
 def _panel(v):
@@ -218,7 +218,7 @@ def _(v):
 
 @query("mlf9_predictions")
 def _(v):
-    results = forecast.forecast_demand(v.exposure, LIGHT, backtest_months=0, write_splits="valtest")
+    results = forecast.forecast_demand(v.exposure, SETTINGS, write_splits="valtest")
     return forecast.all_predictions(results)
 
 
@@ -231,14 +231,14 @@ def _each_mode(v):
 @query("mlf10_backtest")
 def _(v):
     rows, modes = _each_mode(v)
-    found = [(m, k, x) for m in modes for k, x in sorted(forecast.backtest(rows.where(F.col("mode") == m), LIGHT).items())]
+    found = [(m, k, x) for m in modes for k, x in sorted(forecast.backtest(rows.where(F.col("mode") == m), SETTINGS).items())]
     return v.spark.createDataFrame(found, "mode string, metric string, value double")
 
 
 @query("mlf11_feature_importance")
 def _(v):
     rows, modes = _each_mode(v)
-    own = [forecast.evaluate_mode(rows.where(F.col("mode") == m), m, LIGHT, backtest_months=0).importance for m in modes]
+    own = [forecast.evaluate_mode(rows.where(F.col("mode") == m), m, SETTINGS).importance for m in modes]
     out = own[0]
     for more in own[1:]:
         out = out.unionByName(more)
@@ -247,5 +247,5 @@ def _(v):
 
 @query("mlf12_future_months")
 def _(v):
-    return forecast.forecast_future(v.exposure, [3, 4], years_ahead=1, settings=LIGHT)
+    return forecast.forecast_future(v.exposure, [3, 4], years_ahead=1, settings=SETTINGS)
 
