@@ -144,4 +144,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.classify(held, learned, keep=["doc_id", "held_out"])
 
 
-SQL.update(op1_decontaminate=sql_twins.OP1, op8_suffix_dedup=sql_twins.OP8, op9_warc=sql_twins.OP9)
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import collocations
+
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+SQL.update(op1_decontaminate=sql_twins.OP1, op8_suffix_dedup=sql_twins.OP8, op9_warc=sql_twins.OP9, op13_collocations=sql_twins.OP13)

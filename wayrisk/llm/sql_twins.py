@@ -44,3 +44,32 @@ digests AS (SELECT body, array_to_string(list_transform(range(0, 32), lambda j:
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM pages_with JOIN firsts USING (body) JOIN digests USING (body)
 """
+
+#: All phrases of all pieces counted, without any pruning.
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM lists),
+phrases AS (
+  SELECT lang, words[i] AS phrase, 1 AS size FROM places
+  UNION ALL SELECT lang, words[i] || ' ' || words[i + 1], 2 FROM places WHERE i + 1 <= len(words)
+  UNION ALL SELECT lang, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2], 3 FROM places WHERE i + 2 <= len(words)),
+counts AS (SELECT lang, phrase, size, count(*) AS f FROM phrases GROUP BY ALL),
+sums AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, size, a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM candidates
+  UNION ALL SELECT lang, phrase, size, a, 2, w[1] || ' ' || w[2], w[3] FROM candidates WHERE size = 3),
+scores AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, h.f AS l, t.f AS r, (1000000::HUGEINT * c.a * c.a // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.tail),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM candidates WHERE size = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM candidates WHERE size = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT l.* FROM lowest l LEFT JOIN longer g USING (lang, phrase) WHERE g.most IS NULL OR 100 * g.most < 50 * l.a),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranks JOIN sums USING (lang) WHERE rank <= 2000"""
