@@ -144,6 +144,13 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.classify(held, learned, keep=["doc_id", "held_out"])
 
 
+@query
+def op11_lz_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import lz_fingerprint
+
+    return lz_fingerprint.edited_likeness(table(spark, folder, "documents"))
+
+
 @query
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     from wayrisk.llm import collocations
