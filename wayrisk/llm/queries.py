@@ -151,6 +151,13 @@ def op11_lz_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return lz_fingerprint.edited_likeness(table(spark, folder, "documents"))
 
 
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from wayrisk.llm import whitening
+
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     from wayrisk.llm import collocations
