@@ -252,9 +252,9 @@ def phrase_counts(found: DataFrame, n_suffixes: int, settings: Settings) -> Data
     shuffled = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(min(needed, max(4000, shuffled)), min(shuffled, -(-n_suffixes // 50_000)), 1)
     turns = -(-needed // tasks)
-    route = F.xxhash64("lang", F.expr("substring_index(phrase, ' ', lead)"))
-    dealt = found.withColumn("route", route).repartition(tasks, "route")
-    turn = F.pmod(F.shiftrightunsigned("route", 32), F.lit(turns)).cast("int") if turns > 1 else F.lit(0)
+    leading = F.expr("substring_index(phrase, ' ', lead)")
+    dealt = found.repartition(tasks, "lang", leading)
+    turn = F.pmod(F.xxhash64("lang", leading), F.lit(turns)).cast("int") if turns > 1 else F.lit(0)
     dealt = dealt.select("lang", "phrase", "lead", "n", turn.alias("turn"))
     if turns > 1:
         dealt = dealt.sortWithinPartitions("turn")

@@ -88,6 +88,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "_row") -> tuple[DataFrame, bool]:
+    """``docs`` with a number of its own for every pair of key and text, and whether that is the key itself.
+
+    Numbers follow the key, then the text's hash; null keys come last, so no row goes unjudged.  Equal
+    rows have one number.  Keys that are all there and all different are the numbers already.
+    """
+    counts = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys")).first()
+    if counts["n"] == counts["keys"] and docs.schema[key].dataType.typeName() in ("long", "integer", "short", "byte"):
+        return docs.withColumn(name, F.col(key).cast("long")), True
+    hashed = docs.withColumn("_hash", F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")))
+    order = [F.asc_nulls_last(key), F.asc("_hash")]
+    pairs = hashed.select(key, "_hash").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = written(pairs.select(F.col(key).alias("_key"), F.col("_hash").alias("_same"), F.monotonically_increasing_id().alias(name)), "row-ids")
+    joined = hashed.join(numbers, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_same")))
+    return written(joined.select(*docs.columns, name), "numbered-rows"), False
+
+
 SMALL_ROWS = 100_000
 
 
