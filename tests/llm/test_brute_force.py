@@ -15,6 +15,7 @@ import brute
 import corpus_pipeline
 
 from wayrisk.llm import decontaminate, language_id, license_scan, quality_rules, sentencepiece_codec, simhash_dedup, suffix_dedup, token_files
+from test_near_copies import groups, shingles
 from wayrisk.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -243,7 +244,7 @@ def test_pipeline(spark, texts):
     learned = language_id.fit(docs.where(~language_id.held_out()))
     judge, least = language_id.Classifier(learned, language_id.Settings()).judge, language_id.Settings().min_margin
     left = {i: t for i, t in texts.items() if (found := judge(t))[0] != "und" and found[1] >= least}
-    first = brute.components({i: brute.simhash(t) for i, t in left.items()})
+    first = groups({i: shingles(t) for i, t in left.items()})
     left = {i: t for i, t in left.items() if first[i] == i}
     cut = brute.repeated({i: t.encode() for i, t in left.items()})
     left = {i: kept.decode("utf-8", "ignore") if runs else left[i] for i, (kept, runs) in cut.items()}
@@ -271,4 +272,26 @@ def test_pipeline_edges(spark):
             kept = out.count()
             assert kept <= frame.count()
             if name == "near_dedup" and frame is docs:
-                assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "4", "None"]
+                assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "4"]
+
+
+def test_pipeline_keeps_rows_apart(spark):
+    """Several texts of one id, and rows without an id, are judged and cut row by row."""
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    p, q, a, b, c = words(30), words(30), words(30), words(30), words(30)
+    rows = [(0, f"{p} {q}"), (1, f"{a} {p}"), (1, b), (None, f"{c} {q}"), (None, f"{words(9)} {item}"), (2, words(20)), (2, item), (3, b + " more"), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert sorted((str(r.doc_id), r.text) for r in one.collect()) == sorted((str(i), t) for i, t in rows[:7])
+    cut = corpus_pipeline.repeated_strings(spark, one, FOLDER)
+    got = sorted((str(r.doc_id), r.text, r.n_chars) for r in cut.collect())
+    order = sorted(range(7), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, hashlib.sha256(rows[k][1].encode()).hexdigest()))
+    plain = brute.repeated({at: rows[k][1].encode() for at, k in enumerate(order)})
+    assert got == sorted((str(rows[k][0]), (t := plain[at][0].decode()), len(t)) for at, k in enumerate(order) if plain[at][0].strip())
+    assert len(got) == 7 and (("1", b, len(b)) in got) and all(t != f"{a} {p}" for _, t, _ in got)
+    clean = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.without_benchmark(spark, one, FOLDER).collect())
+    assert clean == sorted((str(i), t) for i, t in rows[:7] if item not in t)
+    twice = corpus_pipeline.repeated_strings(spark, docs.unionByName(docs), FOLDER)
+    assert twice.count() == 2 * corpus_pipeline.repeated_strings(spark, docs, FOLDER).count()
