@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import statistics
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayrisk.functions import expr as X
 from wayrisk.functions.params import check_months, month_index, year_month
 from wayrisk.operators import panel as P
-from wayrisk.session import stored
+from wayrisk.session import stored, together
 
 PREDICTION_COLUMNS = [
     "mode",
@@ -40,7 +40,13 @@ WRITTEN_SPLITS = {"test": ["test"], "valtest": ["val", "test"], "all": ["train",
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """Boosted-tree settings; the defaults aim at the task, not at another library's trees."""
+    """Boosted-tree settings; the defaults aim at the task, not at another library's trees.
+
+    ``patience``: rounds without a smaller validation error after which boosting is over; the model
+    ends with the best round.  It holds where a validation split exists; None takes all rounds.
+    ``task_rows`` is what one task of a fit reads, ``node_memory_mb`` what the statistics of the nodes
+    of a level may take, so that a level is one job.
+    """
 
     rounds: int = 100
     step: float = 0.05
@@ -49,8 +55,9 @@ class TreeSettings:
     features: str = "0.8"
     seed: int = 42
     log1p: bool = False
-    early_stopping: bool = False
-    tolerance: float = 0.01
+    patience: int | None = 20
+    task_rows: int = 50_000
+    node_memory_mb: int = 1024
 
 
 @dataclass(frozen=True)
@@ -105,27 +112,69 @@ def _label_months(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select("label_date_index").distinct().collect())
 
 
-def fit_trees(train: DataFrame, features: Sequence[str], settings: TreeSettings, val: DataFrame | None = None) -> PipelineModel:
-    """Fit on ``y_label``; with early stopping the validation rows decide when to stop."""
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """Rounds up to the least error that was met before ``patience`` rounds brought no smaller one."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+@dataclass
+class Fit:
+    """A fitted pipeline, its rounds, and the mean absolute validation error (of the target) after each round tried."""
+
+    model: PipelineModel
+    rounds: int
+    validation_errors: list[float] = field(default_factory=list)
+
+
+def fit_trees(train: DataFrame, features: Sequence[str], settings: TreeSettings, val: DataFrame | None = None) -> Fit:
+    """Fit on ``y_label``; with validation rows and patience these decide how many rounds count.
+
+    The rows are stored in as few partitions as ``task_rows`` asks for: every round reads them once a level.
+    Trees of a seed do not depend on how many follow, so the best prefix is what fewer rounds give.
+    """
     target = F.log1p(F.greatest(F.col("y_label"), F.lit(0.0))) if settings.log1p else F.col("y_label")
-    rows = train.withColumns({"_target": target.cast("double"), "_val": F.lit(False)})
-    trees = GBTRegressor(
-        featuresCol="_features",
-        labelCol="_target",
-        predictionCol="_prediction",
-        maxIter=settings.rounds,
-        stepSize=settings.step,
-        maxDepth=settings.depth,
-        subsamplingRate=settings.subsample,
-        featureSubsetStrategy=settings.features,
-        seed=settings.seed,
-    )
-    if settings.early_stopping and val is not None:
-        trees.setParams(validationIndicatorCol="_val", validationTol=settings.tolerance)
-        rows = rows.unionByName(val.withColumns({"_target": target.cast("double"), "_val": F.lit(True)}))
-    # keep only what the fit reads
-    rows = rows.select(*features, "_target", "_val")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), trees]).fit(rows)
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
+
+    def ready(rows: DataFrame) -> DataFrame:
+        kept = rows.select(*features, target.cast("double").alias("_target"))
+        n = max(1, -(-kept.count() // settings.task_rows))
+        return assembler.transform(kept.coalesce(n)).select("_features", "_target").persist()
+
+    def boosted(rounds: int) -> GBTRegressionModel:
+        return GBTRegressor(
+            featuresCol="_features",
+            labelCol="_target",
+            predictionCol="_prediction",
+            maxIter=rounds,
+            stepSize=settings.step,
+            maxDepth=settings.depth,
+            subsamplingRate=settings.subsample,
+            featureSubsetStrategy=settings.features,
+            seed=settings.seed,
+            maxMemoryInMB=settings.node_memory_mb,
+        ).fit(rows)
+
+    rows, checks = ready(train), None
+    try:
+        trees, errors, rounds = boosted(settings.rounds), [], settings.rounds
+        if settings.patience is not None and val is not None:
+            checks = ready(val)
+            if not checks.isEmpty():
+                errors = list(trees.evaluateEachIteration(checks, "absolute"))
+                rounds = best_round(errors, settings.patience)
+                if rounds < settings.rounds:
+                    trees = boosted(rounds)
+        return Fit(PipelineModel([assembler, trees]), rounds, errors)
+    finally:
+        for held in (rows, checks):
+            if held is not None:
+                held.unpersist()
 
 
 def predicted(settings: TreeSettings) -> Column:
@@ -158,28 +207,43 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark) ->
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def backtest_months(rows: DataFrame, settings: TreeSettings, months: int = 6) -> list[dict[str, float]]:
+    """Rolling origin over the last label months of one mode: train strictly before, test on the month.
+
+    The months' fits are independent and run side by side.
+    """
+    features, at = P.feature_columns(rows), F.col("label_date_index")
+
+    def one(month: int) -> dict[str, float]:
+        before = rows.where(at < month)
+        fitted = fit_trees(before, features, settings)
+        y, p = F.col("y_label"), F.col("y_pred_next_month")
+        found = _predict(fitted.model, rows.where(at == month), settings).agg(
+            P.mae(y, p).alias("mae"), P.smape(y, p).alias("smape"), F.count(F.lit(1)).alias("test_rows")
+        )
+        return {"label_date_index": month, "train_rows": before.count(), **found.first().asDict()}
+
+    return together(rows.sparkSession, [partial(one, m) for m in _label_months(rows)[-months:]])
+
+
+def backtest_summary(by_month: DataFrame) -> DataFrame:
+    """Mean and population deviation of the months' errors (``mode, mae, smape``), by mode."""
+    parts = [F.count(F.lit(1)).cast("double").alias("backtest_months")]
+    for name in ("mae", "smape"):
+        parts += [F.avg(name).alias(f"backtest_{name}_mean"), F.stddev_pop(name).alias(f"backtest_{name}_std")]
+    return by_month.groupBy("mode").agg(*parts)
+
+
 def backtest(rows: DataFrame, settings: TreeSettings, months: int = 6) -> dict[str, float]:
-    """Rolling origin over the last label months: train strictly before, test on the month."""
+    """Errors of ``backtest_months`` in short; with too few label months only the reason."""
     if months <= 0:
         return {}
-    label_months = _label_months(rows)
-    if len(label_months) < months + 3:
-        return {"backtest_skipped": 1.0, "backtest_reason": float(len(label_months))}
-    features, maes, smapes = P.feature_columns(rows), [], []
-    at = F.col("label_date_index")
-    for month in label_months[-months:]:
-        model = fit_trees(rows.where(at < month), features, settings)
-        y, p = F.col("y_label"), F.col("y_pred_next_month")
-        errors = _predict(model, rows.where(at == month), settings).agg(P.mae(y, p), P.smape(y, p)).first()
-        maes.append(errors[0])
-        smapes.append(errors[1])
-    return {
-        "backtest_months": float(months),
-        "backtest_mae_mean": statistics.fmean(maes),
-        "backtest_mae_std": statistics.pstdev(maes),
-        "backtest_smape_mean": statistics.fmean(smapes),
-        "backtest_smape_std": statistics.pstdev(smapes),
-    }
+    n = len(_label_months(rows))
+    if n < months + 3:
+        return {"backtest_skipped": 1.0, "backtest_reason": float(n)}
+    found = [("", m["mae"], m["smape"]) for m in backtest_months(rows, settings, months)]
+    table = rows.sparkSession.createDataFrame(found, "mode string, mae double, smape double")
+    return {k: v for k, v in backtest_summary(table).first().asDict().items() if k != "mode"}
 
 
 @dataclass
@@ -204,7 +268,8 @@ def evaluate_mode(
     plan = plan_split(_label_months(rows), val_months, test_months)
     split = with_split(rows, plan)
     part = lambda name: split.where(F.col("split") == name)
-    model = fit_trees(part("train"), features, settings, part("val") if plan.val_from is not None else None)
+    fitted = fit_trees(part("train"), features, settings, part("val") if plan.val_from is not None else None)
+    model = fitted.model
     sizes = {r["split"]: r for r in P.split_sizes(split).collect()}
     metrics: dict[str, object] = {
         "mode": mode,
@@ -215,7 +280,10 @@ def evaluate_mode(
         "effective_test_months": plan.test_months,
         **{f"rows_{s}": sizes[s]["rows"] if s in sizes else 0 for s in ("train", "val", "test")},
         **{f"stations_{s}": sizes[s]["stations"] if s in sizes else 0 for s in ("train", "test")},
+        "rounds": fitted.rounds,
     }
+    if fitted.validation_errors:
+        metrics["validation_error"] = fitted.validation_errors[fitted.rounds - 1]
     importance = feature_importance(model, features, rows.sparkSession)
     if plan.test_from is None:
         metrics["note"] = "no test split possible; trained only"
@@ -238,15 +306,13 @@ def forecast_demand(
     past_only: bool = False,
     calendar: bool = False,
 ) -> list[ModeResult]:
-    """Evaluate every mode.  Features of all modes come from one plan, stored once."""
+    """Evaluate every mode, side by side.  Features of all modes come from one plan, stored once."""
     rows = stored(labelled_rows(P.station_panel(exposure), horizon, past_only, calendar))
     modes = sorted(r[0] for r in rows.select("mode").distinct().collect())
-    return [
-        evaluate_mode(
-            rows.where(F.col("mode") == m), m, settings, val_months, test_months, backtest_months, write_splits
-        )
-        for m in modes
-    ]
+    one = lambda m: evaluate_mode(
+        rows.where(F.col("mode") == m), m, settings, val_months, test_months, backtest_months, write_splits
+    )
+    return together(exposure.sparkSession, [partial(one, m) for m in modes])
 
 
 def all_predictions(results: Sequence[ModeResult]) -> DataFrame | None:
@@ -306,10 +372,13 @@ def forecast_future(
     features = [c for c in P.BASE_FEATURES if c in rows.columns]
     rows = stored(rows)
     last_months = {r[0]: r[1] for r in rows.groupBy("mode").agg(F.max("date_index")).collect()}
+    labelled = P.clean_features(rows.where(F.col("y_label").isNotNull()), features)
+    fits = [partial(fit_trees, labelled.where(F.col("mode") == m), features, settings) for m in sorted(last_months)]
+    models = dict(zip(sorted(last_months), together(exposure.sparkSession, fits), strict=True))
     out = None
     for mode, last in sorted(last_months.items()):
         mine = rows.where(F.col("mode") == mode)
-        model = fit_trees(P.clean_features(mine.where(F.col("y_label").isNotNull()), features), features, settings)
+        model = models[mode].model
         target_year = year_month(last)[0] + years_ahead
         wanted = {month_index(target_year, m) for m in months}
         state = mine.where(F.col("date_index") == last).select(

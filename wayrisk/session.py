@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
+
+T = TypeVar("T")
 
 # Settings the plans rely on.  Sizing (executors, shuffle partitions) is left to
 # the cluster: AQE coalesces small shuffles and splits skewed ones at run time.
@@ -74,6 +79,27 @@ def staged(df: DataFrame) -> Iterator[DataFrame]:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+FITS_AT_ONCE = 8
+
+
+def together(spark: SparkSession, steps: Sequence[Callable[[], T]], at_once: int = FITS_AT_ONCE) -> list[T]:
+    """Results of independent steps whose Spark jobs run side by side, in order.
+
+    Every step's jobs go to a scheduler pool of their own, so with ``spark.scheduler.mode=FAIR`` long
+    and short ones share the cluster; local properties of the caller hold in the steps too.
+    """
+
+    @inheritable_thread_target(spark)
+    def run(k: int) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"step-{k}")
+        return steps[k]()
+
+    if len(steps) < 2:
+        return [step() for step in steps]
+    with ThreadPoolExecutor(min(at_once, len(steps))) as pool:
+        return list(pool.map(run, range(len(steps))))
+
+
 SMALL_ROWS = 100_000
 
 
