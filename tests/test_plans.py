@@ -215,7 +215,7 @@ def test_labels_by_row_and_by_calendar(spark):
 
 
 def test_forecast_end_to_end(spark):
-    settings = forecast.TreeSettings(rounds=8, depth=3, step=0.3, log1p=True, early_stopping=True)
+    settings = forecast.TreeSettings(rounds=8, depth=3, step=0.3, log1p=True, patience=2)
     (result,) = forecast.forecast_demand(demand(spark), settings, backtest_months=2, write_splits="all")
     m = result.metrics
     assert m["split_mode"] == "normal" and m["rows_test"] == 6 and m["rows_val"] == 6

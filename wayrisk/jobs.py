@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from wayrisk import schemas
 from wayrisk.functions.params import choose_radius, int_list, months_spec, radii_in_columns, radii_list
 from wayrisk.operators.filters import crashes_in
+from wayrisk.operators.shares import pivot_years
 from wayrisk.operators.usage import station_exposure
 from wayrisk.plans import compare, forecast, report, scorecard, summaries, windows
-from wayrisk.plans.ingest import ingest
+from wayrisk.plans.ingest import ingest, ingest_older_layer
 from wayrisk.session import build_session
 from wayrisk.sinks.partitions import write_table
 from wayrisk.sources import tables
@@ -100,40 +101,64 @@ def compare_runs(spark: SparkSession, root: str, out: str, yoy_months: str | Non
         _save(df, out, name)
 
 
-def report_tables(spark: SparkSession, run: str, radius: str = "auto", min_trips: int = 5000) -> None:
-    """High-risk list, clusters, zones, tiers, summaries and the decision tables of a run."""
-    found = {
-        int(r): card
-        for r in radii_in_columns(_load(spark, run, "station_risk_lifetime").columns)
-        if (card := _load(spark, run, f"scorecard_{r}m", optional=True)) is not None
-    }
+def report_tables(spark: SparkSession, run: str, radius: str = "auto", min_trips: int = 5000, m_prior: float = 20000.0) -> None:
+    """High-risk list, clusters, zones, tiers, summaries, period panels and the decision tables of a run.
+
+    Tables of a period appear where the run has its source: a scorecard by year and month, station risk
+    by year or by year and month, usage by hour or weekday, target windows.
+    """
+    source = lambda name: _load(spark, run, name, optional=True)
+    risk = _load(spark, run, "station_risk_lifetime")
+    found = {int(r): card for r in radii_in_columns(risk.columns) if (card := source(f"scorecard_{r}m")) is not None}
     card = tables.scorecard_for(found, radius)
+    chosen = next(r for r, c in found.items() if c is card)
     high = _save(report.high_risk(card, min_trips), run, "high_risk")
     clustered = _save(report.high_risk_clusters(high), run, "high_risk_clusters")
+    zoned = _save(report.risk_zones(card, min_trips), run, "risk_zones")
     out = {
         "high_risk_top": report.top_high_risk(high),
+        "high_priority": report.high_priority(zoned),
+        "zone_counts": report.counts_of(zoned, "zone"),
         "cluster_summary": report.cluster_summary(clustered),
-        "risk_zones": report.risk_zones(card, min_trips),
+        "cluster_totals": report.cluster_totals(clustered),
+        "scorecard_enriched": scorecard.enrich_scorecard(card, min_trips, m_prior),
         "tier_shares": report.tier_shares(report.with_tiers(card, min_trips)),
         "rate_histogram": report.rate_histogram(card, min_trips=min_trips),
         "executive_summary": report.executive_summary(card, min_trips),
         "run_summary": report.run_summary(_load(spark, run, "trips_by_year"), card),
         "where_prevention": report.where_prevention(card, min_trips=min_trips),
         "where_reach": report.where_reach(card),
-        "top_station_by_month": report.top_station_by_month(_load(spark, run, "station_exposure")),
+        "lowest_exposure": report.lowest_exposure(card),
+        "plain_metrics": report.plain_metrics(risk, chosen),
+        "top_station_by_month": (top := report.top_station_by_month(_load(spark, run, "station_exposure"))),
+        "top_station_trips_by_year": report.top_station_trips_by_year(top),
     }
-    when = _load(spark, run, "target_windows", optional=True)
-    if when is not None:
+    if (when := source("target_windows")) is not None:
         out["when_windows"] = report.when_windows(when)
-    by_year = _load(spark, run, "station_risk_year", optional=True)
-    if by_year is not None:
-        out["yearly_burden"] = report.yearly_burden(report.yearly_rates(by_year, radius, min_trips))
+    if (hours := source("trips_by_hour_week_part")) is not None:
+        out["usage_panels"] = report.usage_panels(hours)
+        out["hour_summary"] = report.hour_summary(hours)
+    if (days := source("trips_by_dow")) is not None:
+        out["dow_summary"] = report.dow_summary(days)
+        out["week_part_summary"] = report.week_part_summary(days)
+        out["week_part_by_year"] = report.week_part_summary(days, by_year=True)
+        shares = report.dow_year_shares(days)
+        years = sorted(r["year"] for r in days.select("year").distinct().collect())
+        out["dow_by_year"] = pivot_years(shares, ["dow", "dow_name"], "pct_of_year", years)
+    if (by_year := source("station_risk_year")) is not None:
+        out["yearly_burden"] = report.yearly_burden(report.yearly_rates(by_year, chosen, min_trips, m_prior))
         out["crash_ratio_by_year"] = report.crash_ratio(by_year)
-    chosen = next(r for r, c in found.items() if c is card)
-    by_month = _load(spark, run, f"scorecard_{chosen}m_year_month", optional=True)
-    if by_month is not None:
-        out["seasonality"] = report.seasonality(by_month, min_trips)
-        out["yearly_distribution"] = report.yearly_distribution(by_month, min_trips)
+    if (by_month := source("station_risk_year_month")) is not None:
+        out["crash_ratio_by_month"] = report.crash_ratio(by_month, ["year", "month"])
+    if (periods := source(f"scorecard_{chosen}m_year_month")) is not None:
+        seasons = _save(report.seasonality(periods, min_trips), run, "seasonality")
+        months = sorted(r["month"] for r in seasons.select("month").distinct().collect())  # twelve at most
+        out["seasonality_heatmap"] = report.seasonality_heatmap(seasons, months)
+        out["yearly_distribution"] = report.yearly_distribution(periods, min_trips)
+        weighted = _save(report.weighted_rates(periods), run, "weighted_rates")
+        years = sorted(r["year"] for r in weighted.select("year").distinct().collect())
+        if len(years) > 1:
+            out["station_change"] = report.station_change(weighted, years[0], years[-1])
     for name, df in out.items():
         _save(df, run, name)
 
@@ -149,18 +174,17 @@ def predict(
     write_splits: str = "test",
     future_months: Sequence[int] = (),
     years_ahead: int = 1,
+    past_only: bool = False,
+    calendar: bool = False,
 ) -> None:
     exposure = _load(spark, run, "station_exposure")
     results = forecast.forecast_demand(
-        exposure, settings, horizon, val_months, test_months, backtest_months, write_splits
+        exposure, settings, horizon, val_months, test_months, backtest_months, write_splits, past_only, calendar
     )
     predictions = forecast.all_predictions(results)
     if predictions is not None:
         write_table(predictions, f"{run}/predictions", by=["mode"])
-    # one small row per mode
-    keys = sorted({k for r in results for k in r.metrics})
-    rows = [tuple(None if r.metrics.get(k) is None else str(r.metrics[k]) for k in keys) for r in results]
-    write_table(spark.createDataFrame(rows, ", ".join(f"{k} string" for k in keys)), f"{run}/metrics", "json")
+    write_table(forecast.metrics_table(spark, results), f"{run}/metrics", "json")
     for r in results:
         write_table(r.importance, f"{run}/feature_importance_{r.mode}")
     if future_months:
@@ -184,6 +208,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--force", action="store_true")
     p.add_argument("--keep-null-times", action="store_true")
     p.add_argument("--compression", default="none")
+    job("older-layer", "folder", "out").add_argument("--months")
     job("crashes", "source", "out", "years", "months")
     p = job("summarize", "trips", "out")
     p.add_argument("--mode")
@@ -205,11 +230,18 @@ def main(argv: Sequence[str] | None = None) -> None:
     p = job("report", "run")
     p.add_argument("--radius", default="auto")
     p.add_argument("--min-trips", type=int, default=5000)
+    p.add_argument("--m-prior", type=float, default=20000.0)
     p = job("predict", "run")
     for name, default in (("horizon", 1), ("val-months", 1), ("test-months", 1), ("backtest-months", 6), ("years-ahead", 1)):
         p.add_argument(f"--{name}", type=int, default=default)
-    p.add_argument("--rounds", type=int, default=100)
-    p.add_argument("--log1p", action="store_true")
+    trees = forecast.TreeSettings()
+    p.add_argument("--rounds", type=int, default=trees.rounds)
+    p.add_argument("--patience", type=int, default=trees.patience, help="rounds without gain on the validation months; 0: all rounds")
+    p.add_argument("--depth", type=int, default=trees.depth)
+    p.add_argument("--step", type=float, default=trees.step)
+    p.add_argument("--subsample", type=float, default=trees.subsample)
+    for name in ("log1p", "past-only", "calendar"):
+        p.add_argument(f"--{name}", action="store_true")
     p.add_argument("--write-splits", default="test", choices=list(forecast.WRITTEN_SPLITS))
     p.add_argument("--future-months", default="")
     a = top.parse_args(argv)
@@ -230,12 +262,17 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif a.job == "compare":
         compare_runs(spark, a.root, a.out, a.yoy_months)
     elif a.job == "report":
-        report_tables(spark, a.run, a.radius, a.min_trips)
+        report_tables(spark, a.run, a.radius, a.min_trips, a.m_prior)
     elif a.job == "predict":
+        settings = forecast.TreeSettings(
+            rounds=a.rounds, step=a.step, depth=a.depth, subsample=a.subsample, log1p=a.log1p, patience=a.patience or None
+        )
         predict(
-            spark, a.run, forecast.TreeSettings(rounds=a.rounds, log1p=a.log1p), a.horizon, a.val_months, a.test_months,
-            a.backtest_months, a.write_splits, int_list(a.future_months) or (), a.years_ahead,
+            spark, a.run, settings, a.horizon, a.val_months, a.test_months, a.backtest_months, a.write_splits,
+            int_list(a.future_months) or (), a.years_ahead, a.past_only, a.calendar,
         )
+    elif a.job == "older-layer":
+        ingest_older_layer(spark, a.folder, a.out, int_list(a.months) if a.months else None)
 
 
 if __name__ == "__main__":

@@ -315,6 +315,31 @@ def forecast_demand(
     return together(exposure.sparkSession, [partial(one, m) for m in modes])
 
 
+METRIC_GROUPS = ("split", "rows", "stations", "test", "backtest", "fit")
+
+
+def metrics_table(spark, results: Sequence[ModeResult]) -> DataFrame:
+    """One row a mode: the model's name and note, and its figures in groups, as they are written as nested JSON."""
+
+    def group(name: str) -> str:
+        first = name.split("_")[0]
+        if first in ("rows", "stations", "backtest"):
+            return first
+        if first in ("mae", "smape"):
+            return "test"
+        return "fit" if name in ("rounds", "validation_error") else "split"
+
+    rows = []
+    for r in results:
+        own = {g: {} for g in METRIC_GROUPS}
+        for name, value in r.metrics.items():
+            if name not in ("mode", "model", "note", "split_mode") and value is not None:
+                own[group(name)][name] = float(value)
+        rows.append((r.mode, r.metrics["model"], r.metrics.get("note"), r.metrics["split_mode"], *[own[g] for g in METRIC_GROUPS]))
+    groups = ", ".join(f"{g} map<string, double>" for g in METRIC_GROUPS)
+    return spark.createDataFrame(rows, f"mode string, model string, note string, split_mode string, {groups}")
+
+
 def all_predictions(results: Sequence[ModeResult]) -> DataFrame | None:
     frames = [r.predictions for r in results if r.predictions is not None]
     if not frames:

@@ -269,6 +269,27 @@ def crash_ratio(risk: DataFrame, by: Sequence[str] = ("year",)) -> DataFrame:
 
 
 # --- usage patterns --------------------------------------------------------
+USAGE_PANELS = {"hour": ["hour"], "week_part": ["week_part"], "year_hour": ["year", "hour"], "year_week_part": ["year", "week_part"], "week_part_hour": ["week_part", "hour"]}
+
+
+def usage_panels(hours: DataFrame) -> DataFrame:
+    """Trips and shares by hour, week part, and both within years and week parts, from one pass.
+
+    ``panel`` names the grouping, a column it leaves out is null, and ``pct`` is of the panel, of the year
+    where it has one, or else of the week part where it has hours too.
+    """
+    keys = ["year", "week_part", "hour"]
+    sets = [[F.col(c) for c in columns] for columns in USAGE_PANELS.values()]
+    summed = hours.groupingSets(sets, *keys).agg(F.sum("trips").alias("trips"), F.grouping_id(*keys).alias("_left_out"))
+    # bits of the grouping id, first column highest: set where the column is left out
+    number = {name: sum(1 << (len(keys) - 1 - k) for k, c in enumerate(keys) if c not in columns) for name, columns in USAGE_PANELS.items()}
+    panel = F.coalesce(*[F.when(F.col("_left_out") == n, F.lit(name)) for name, n in number.items()])
+    named = summed.withColumn("panel", panel)
+    scope = [F.col("panel"), F.col("year"), F.when(F.col("panel") == "week_part_hour", F.col("week_part"))]
+    total = F.sum("trips").over(W.partitionBy(*scope))  # a row per hour, week part and year at most
+    return named.select("panel", *keys, "trips", X.ratio(F.col("trips"), total, 100.0).alias("pct"))
+
+
 def hour_summary(hours: DataFrame) -> DataFrame:
     return group_shares(hours, ["hour"], "pct_of_daily")
 
