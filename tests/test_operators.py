@@ -239,3 +239,37 @@ def test_long_chains_settle(spark, shuffled):
     nodes = spark.createDataFrame([(k,) for k in [*ids, 5000]], "_node long")
     roots = {r._node: r._root for r in clusters.components(nodes, links).collect()}
     assert roots.pop(5000) == 5000 and set(roots.values()) == {0} and len(roots) == 2000
+
+
+def dbscan_by_hand(points, eps, least):
+    near = {a: [b for b in points if (points[a][0] - points[b][0]) ** 2 + (points[a][1] - points[b][1]) ** 2 <= eps * eps] for a in points}
+    cores = {a: points[a] for a in points if len(near[a]) >= least}
+    label = components_by_hand(cores, eps)
+    number = {root: k for k, root in enumerate(sorted(set(label.values())))}
+    out = {a: number[label[a]] for a in cores}
+    for a in points.keys() - cores.keys():
+        found = [((points[a][0] - points[b][0]) ** 2 + (points[a][1] - points[b][1]) ** 2, b) for b in near[a] if b in cores]
+        out[a] = number[label[min(found)[1]]] if found else -1
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 3, 6, 30])
+def test_dense_clusters_match_brute_force(spark, least):
+    rng = random.Random(least)
+    points = {f"p{i:04d}": (40.7 + rng.uniform(0, 0.12), -74.0 + rng.uniform(0, 0.12)) for i in range(260)}
+    points |= {f"c{i:04d}": (40.75 + rng.gauss(0, 0.002), -73.95 + rng.gauss(0, 0.002)) for i in range(150)}  # a crowded place
+    points |= {f"s{i:04d}": (40.75, -73.97) for i in range(40)} | {f"q{i:04d}": (41.5 + 0.0049 * i, -74.0) for i in range(30)}
+    df = spark.createDataFrame([(k, *v) for k, v in points.items()] + [("none", None, None), (None, 40.7, -74.0)], "id string, station_lat double, station_lng double")
+    got = {r.id: r.cluster for r in clusters.density_clusters(df, "id", min_samples=least).collect()}
+    assert got.pop("none") is None and got.pop(None) is None
+    assert got == dbscan_by_hand(points, 0.01, least)
+
+
+def test_dense_clusters_of_two_and_of_nothing(spark):
+    rng = random.Random(9)
+    rows = [(i, 40 + rng.uniform(0, 0.2), -74 + rng.uniform(0, 0.2)) for i in range(400)]
+    points = spark.createDataFrame(rows, "_id long, _lat double, _lng double")
+    general = {r._id: r.cluster for r in clusters._dense_clusters(points, 0.01, 2).collect()}
+    named = spark.createDataFrame(rows, "id long, station_lat double, station_lng double")
+    assert general == {r.id: r.cluster for r in clusters.density_clusters(named, "id").collect()}
+    assert clusters.density_clusters(named.where("false"), "id", min_samples=5).count() == 0

@@ -374,6 +374,9 @@ def _(v):
 
 
 # --- clusters: components of the eps graph, by a recursive walk in SQL -------
+DENSE = 40  # about as many crashes as the average crash of the smaller folders has within eps
+
+
 def _clusters_sql(rows: str, body: str) -> str:
     return f"""WITH RECURSIVE pts AS ({rows}),
       near AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b
@@ -428,15 +431,47 @@ def _(v):
     return report.cluster_totals(report.high_risk_clusters(_station_points(v), key="id"))
 
 
-# All crashes as points: far more of them, so cells merge points and links chain far.  A
-# pairwise walk in SQL is too slow here; tests compare the operator with brute force.
-@query("joi10_crash_clusters")
+def _dense_sql(points: str, min_samples: int) -> str:
+    """Density clusters of any size: neighbours by grid cells, least label carried along core links, nearest core for the rest."""
+    return f"""WITH RECURSIVE pts AS ({points}),
+      gridded AS (SELECT *, CAST(floor(lat / 0.0101) AS BIGINT) AS ci, CAST(floor(lng / 0.0101) AS BIGINT) AS cj FROM pts),
+      around AS (SELECT id, lat, lng, ci + di AS ci, cj + dj AS cj FROM gridded, (VALUES (-1), (0), (1)) AS a(di), (VALUES (-1), (0), (1)) AS b(dj)),
+      near AS (SELECT a.id AS a, b.id AS b, pow(a.lat - b.lat, 2) + pow(a.lng - b.lng, 2) AS d FROM around a JOIN gridded b USING (ci, cj)
+        WHERE pow(a.lat - b.lat, 2) + pow(a.lng - b.lng, 2) <= 0.01 * 0.01),
+      cores AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {min_samples}),
+      links AS (SELECT a, b FROM near SEMI JOIN cores x ON x.id = near.a SEMI JOIN cores y ON y.id = near.b WHERE a <> b),
+      labels(id, label) USING KEY (id) AS (
+        SELECT id, id AS label FROM cores
+        UNION
+        (SELECT l.b, min(t.label) FROM labels t JOIN links l ON l.a = t.id JOIN recurring.labels r ON r.id = l.b
+         GROUP BY l.b HAVING min(t.label) < any_value(r.label))),
+      numbered AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS no FROM (SELECT DISTINCT label FROM labels)),
+      beside AS (SELECT a AS id, arg_min(b, (d, b)) AS core FROM near SEMI JOIN cores y ON y.id = near.b ANTI JOIN cores x ON x.id = near.a GROUP BY a)
+      SELECT p.id, CAST(coalesce(own.no, other.no, -1) AS INT) AS cluster FROM pts p
+      LEFT JOIN labels l ON l.id = p.id LEFT JOIN numbered own ON own.label = l.label
+      LEFT JOIN beside s ON s.id = p.id LEFT JOIN labels m ON m.id = s.core LEFT JOIN numbered other ON other.label = m.label"""
+
+
+_CRASH_POINTS = "SELECT collision_id AS id, latitude AS lat, longitude AS lng FROM crashes"
+
+
+def _crash_points(v):
+    return v.crashes.select(
+        F.col("collision_id").alias("id"), F.col("latitude").alias("station_lat"), F.col("longitude").alias("station_lng")
+    )
+
+
+# all crashes as points: far more of them, so cells merge points and links chain far
+@query("joi10_crash_clusters", _dense_sql(_CRASH_POINTS, 2))
+def _(v):
+    return report.high_risk_clusters(_crash_points(v), key="id").select("id", "cluster")
+
+
+@query("sta11_dense_crash_clusters", _dense_sql(_CRASH_POINTS, DENSE))
+def _(v):
+    return report.high_risk_clusters(_crash_points(v), key="id", min_samples=DENSE).select("id", "cluster")
+
+
+@query("sta11_density_clusters_of_four", _dense_sql(_STATION_POINTS, 4))
 def _(v):
-    return report.high_risk_clusters(
-        v.crashes.select(
-            F.col("collision_id").alias("id"),
-            F.col("latitude").alias("station_lat"),
-            F.col("longitude").alias("station_lng"),
-        ),
-        key="id",
-    ).select("id", "cluster")
+    return report.high_risk_clusters(_station_points(v), key="id", min_samples=4).select("id", "cluster")

@@ -59,8 +59,8 @@ def rows_by_period(df: DataFrame) -> DataFrame:
 
 
 # --- clusters --------------------------------------------------------------
-def high_risk_clusters(high: DataFrame, key: str = "start_station_id", eps: float = 0.01) -> DataFrame:
-    return density_clusters(high, key, eps=eps)
+def high_risk_clusters(high: DataFrame, key: str = "start_station_id", eps: float = 0.01, min_samples: int = 2) -> DataFrame:
+    return density_clusters(high, key, eps=eps, min_samples=min_samples)
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:
