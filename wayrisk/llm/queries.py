@@ -46,7 +46,7 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     from wayrisk.llm import sentencepiece_codec as codec
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return codec.digests(codec.decode(codec.encode(table(spark, folder, "documents"), path), path))
+    return codec.digests(codec.round_trip(table(spark, folder, "documents"), path))
 
 
 @query

@@ -23,6 +23,7 @@ import re
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from wayrisk.llm.common import Memo, int_lists, kept_in_worker, map_column
 
 SPACE = "▁"
-SEGMENTS_REMEMBERED = 250_000  # in each of two generations
+SEGMENTS_REMEMBERED = 400_000  # in each of two generations
+PAIRS_REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 LONGEST_PLAIN_MERGE = 40
 
@@ -117,8 +119,9 @@ class PieceEncoder:
         self.within = {c for p in model.ids for c in p}
         across = any(SPACE in p.lstrip(SPACE) for p in model.ids)
         self.cut = re.compile("(?s).+" if across else " +[^ \n]*|[^ \n]+|\n" if "\n" not in self.within else " +[^ ]*|[^ ]+")
+        self.split = {p: self._last_merge(p) for p in whole}
         self.shorter = Memo(self._shorter)
-        self.fits = Memo(self._fits, 150_000)
+        self.fits = Memo(self._fits, PAIRS_REMEMBERED)
         self.segment_ids = Memo(self._segment_ids, SEGMENTS_REMEMBERED, LONGEST_REMEMBERED)
 
     def encode(self, text: str | None) -> bytes:
@@ -130,8 +133,51 @@ class PieceEncoder:
     def _shorter(self, piece: str) -> str:
         return next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.usable), "")
 
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last; None for one character."""
+        rank, left = self.model.rank, None
+        for k in range(1, len(piece)):
+            a, b = piece[:k], piece[k:]
+            if (len(a) == 1 or a in rank) and (len(b) == 1 or b in rank) and self.model.merged(a) == [a] and self.model.merged(b) == [b]:
+                if left is not None:  # more than one way: decided by merging
+                    return self._simulated(piece)
+                left = a, b
+        return left
+
+    def _simulated(self, piece: str) -> tuple[str, str]:
+        parts, rank = list(piece), self.model.rank.get
+        while len(parts) > 2:
+            _, at = min((r, k) for k in range(len(parts) - 1) if (r := rank(parts[k] + parts[k + 1])) is not None)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts[0], parts[1]
+
     def _fits(self, pair: tuple[str, str]) -> bool:
-        return self.model.merged(pair[0] + pair[1]) == [*pair]
+        """Whether merging both together gives these two pieces again.
+
+        The merges along the border are undone from the last one back.  As long as two parts meet
+        there that would have merged before either was made, the pieces cannot stand side by side.
+        Equal ranks are decided by merging.
+        """
+        left, right = pair
+        rank, split = self.model.rank.get, self.split
+        made_left, made_right = rank(left, -1) if len(left) > 1 else -1, rank(right, -1) if len(right) > 1 else -1
+        ended = None  # rank of the merge undone last: what joined the border then came before it
+        while True:
+            joined = rank(left + right)
+            if joined is not None and (ended is None or joined <= ended):
+                if joined == ended or joined == made_left or joined == made_right:
+                    return self.model.merged(pair[0] + pair[1]) == [*pair]
+                return False
+            if made_left == made_right:
+                if made_left < 0:
+                    return True
+                return self.model.merged(pair[0] + pair[1]) == [*pair]
+            if made_left > made_right:
+                ended, left = made_left, split[left][1]
+                made_left = rank(left) if len(left) > 1 else -1
+            else:
+                ended, right = made_right, split[right][0]
+                made_right = rank(right) if len(right) > 1 else -1
 
     def _segment_ids(self, segment: str) -> bytes:
         segment = segment.replace(" ", SPACE)
@@ -161,10 +207,15 @@ class PieceEncoder:
 
     def _backtrack(self, text: str) -> list[str]:
         n, search, fits = len(text), self.matches.iter_long, self.fits
+        longest, k = [p for _, p in search(text)], 0  # from each place that the one before ends
+        for k, pair in enumerate(zip(longest, longest[1:]), 1):
+            if not fits[pair]:
+                break
+        else:
+            return longest
         failed = bytearray((n >> 3) + 1)  # bit k is set if no valid tokens lead on from k
-        out, at = [], 0
-        ahead = search(text)  # longest pieces from ``at`` on
-        piece = next(ahead)[1]
+        out, piece, ahead = longest[:k], longest[k], None
+        at = sum(map(len, out))
         while True:
             end = at + len(piece)
             if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits[out[-1], piece]):
@@ -203,14 +254,34 @@ class PieceDecoder:
             self.table[i] = b""
         self.table[model.unknown] = " ⁇ ".encode()
         self.control = model.control
-        self.spaced = {i for p, i in model.ids.items() if p.startswith(SPACE)}
+        n = len(self.table)
+        self.is_control, self.is_spaced = np.zeros(n, bool), np.zeros(n, bool)
+        self.is_control[list(self.control)] = True
+        self.is_spaced[[i for p, i in model.ids.items() if p.startswith(SPACE)]] = True
+        self.sizes = np.fromiter(map(len, self.table), np.int64, n)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.table), np.uint8)
         codecs.register_error("each-wrong-byte", _each_wrong_byte)
 
     def decode(self, ids: list[int] | None) -> str:
-        ids = ids or []
-        out = b"".join(map(self.table.__getitem__, ids))
-        first = next((i for i in ids if i not in self.control), None)
-        return (out[1:] if first in self.spaced else out).decode("utf-8", "each-wrong-byte")
+        return self.decode_all([np.array(ids or [], np.int32)])[0]
+
+    def decode_all(self, several: list[np.ndarray]) -> list[str]:
+        """Texts of several arrays of ids: the pieces' bytes are gathered for all at once."""
+        ids = np.concatenate([*several, np.zeros(0, np.int32)])
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        data = self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        out, at, done = [], 0, 0
+        for one in several:
+            begin, at = done, at + len(one)
+            done = int(ends[at - 1]) if at else 0
+            first = one[0] if len(one) else -1
+            if self.is_control[first] if first >= 0 else False:
+                first = next((i for i in one.tolist() if i not in self.control), -1)
+            skip = 1 if first >= 0 and self.is_spaced[first] else 0
+            out.append(data[begin + skip : done].decode("utf-8", "each-wrong-byte"))
+        return out
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -235,11 +306,27 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", keep: list[str
 
     def start() -> Callable[[list], list]:
         decoder = PieceDecoder(model)
-        return lambda lists: [[decoder.decode(x) for x in lists]]
+        return lambda lists: [decoder.decode_all([np.array(x or [], np.int32) for x in lists])]
 
     return map_column(encoded, keep, ids, start, [("decoded", "string", pa.string())])
 
 
+def round_trip(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, ids, decoded``: ``encode`` and ``decode`` of its ids, in one pass over the texts."""
+    model = Path(model_path).read_bytes()
+
+    def start() -> Callable[[list], list]:
+        encoder, decoder = kept_in_worker(("both ways", model), lambda: (PieceEncoder(model), PieceDecoder(model)))
+
+        def work(texts: list) -> list:
+            coded = [encoder.encode(t) for t in texts]
+            return [int_lists(coded), decoder.decode_all([np.frombuffer(c, "<i4") for c in coded])]
+
+        return work
+
+    return map_column(docs, [key], text, start, [("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())])
+
+
 def digests(coded: DataFrame, key: str = "doc_id", more: list[str] | None = None) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded rows, and columns ``more``."""
     return coded.select(
