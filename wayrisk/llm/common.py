@@ -105,16 +105,30 @@ def with_row_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
     return written(joined.select(*docs.columns, name), "numbered-rows"), False
 
 
-SMALL_ROWS = 100_000
+SMALL_ROWS, SMALL_BYTES = 100_000, 64 << 20
 
 
-def checked_side(df: DataFrame, name: str = "side", max_rows: int = SMALL_ROWS) -> DataFrame:
-    """A side of a join, written as a table and broadcast only if it has few rows.
+def _row_bytes(df: DataFrame):
+    """About what a row takes in memory: eight bytes a value, the length of texts and arrays."""
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    total = F.lit(8 * len(df.columns))
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind in wide:
+            total = total + F.coalesce(wide[kind](F.col(f"`{field.name}`")), F.lit(0))
+        elif kind == "array":
+            total = total + F.greatest(F.size(F.col(f"`{field.name}`")), F.lit(0)) * (32 if field.dataType.elementType.typeName() == "struct" else 8)
+    return total.cast("long")
 
-    Beyond ``max_rows`` the join is an ordinary one, which splits skewed partitions.
+
+def checked_side(df: DataFrame, name: str = "side", max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A side of a join, written as a table and broadcast only if it has few rows and bytes.
+
+    Beyond that the join is an ordinary one, which splits skewed partitions.
     """
     rows = written(df, name)
-    return F.broadcast(rows) if rows.count() <= max_rows else rows
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(rows)), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(rows) if size["n"] <= max_rows and size["bytes"] <= max_bytes else rows
 
 
 def open_store(uri: str):

@@ -1,9 +1,10 @@
 """Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks.
 
 A place of a document that shares a word shingle with a benchmark item gives a window of the
-item's size, aligned with it.  Where words were put in or left out, shared places align in
-several ways, and the windows between these are taken as well: one of them is the best there
-is, since moving a window beyond them loses shingles and gains none.  Each window has a SimHash of its shingles.  Fingerprints are cut into blocks: of two
+item's size, aligned with it.  Where words were put in, left out or moved, shared places align in
+several ways, and the windows between these are taken as well wherever one window can hold shared
+shingles of both: two alignments may then lie up to twice the item's shingles apart, as those of an item
+whose halves changed places.  One of these windows is the best there is.  Each window has a SimHash of its shingles.  Fingerprints are cut into blocks: of two
 within ``bits`` bits, at least one block differs in at most ``bits // blocks`` bits, so an
 item is filed under all values that near each of its blocks, and windows look their blocks up.
 All fingerprints within the radius are found that way.  The radius follows from the similarity,
@@ -129,8 +130,8 @@ def leaks(
     """``key, item_id, start_word, n_words, similarity, n_places``: documents that hold an item.
 
     A row per document and item whose best window reaches the similarity; ``start_word`` is
-    that window's first word (the first of the best that were looked at), ``n_places`` counts the windows that
-    reach it.  A document shorter than the item is one window.  Documents and items without
+    that window's first word (the first of the best that were looked at), ``n_places`` counts the windows
+    looked at that reach it; their neighbours may reach it too.  A document shorter than the item is one window.  Documents and items without
     words match nothing, and rows with a null key are not searched.
     """
     docs = docs.where(F.col(key).isNotNull()).select(key, F.col(text).alias("text"))
@@ -152,7 +153,7 @@ def leaks(
     found = placed.join(checked_side(index), ["width", "gram"]).select(key, "item_id", "width", "n_words", start.alias("start"))
     aligned = found.groupBy(key, "item_id", "width", "n_words").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     windows = (
-        aligned.select(key, "width", "n_words", F.explode(between(F.col("starts"), F.col("n_words"))).alias("start"))
+        aligned.select(key, "width", "n_words", F.explode(between(F.col("starts"), 2 * (F.col("n_words") - F.col("width")) + 1)).alias("start"))
         .groupBy(key)
         .agg(F.collect_set(F.struct("width", "n_words", "start")).alias("windows"))
     )
@@ -167,7 +168,9 @@ def leaks(
     # items within the radius, by blocks
     width = BITS // settings.blocks
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= settings.bits // settings.blocks)
-    filed = known.select("item_id", "width", "n_words", "grams", "item_fp", F.explode(_blocks("item_fp", settings)).alias("b"))
+    # thousands of rows an item: dealt by item and block before they are made
+    blocked = known.select("item_id", "width", "n_words", "item_fp", F.explode(_blocks("item_fp", settings)).alias("b"))
+    filed = blocked.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id", "b.block")
     filed = filed.select("*", F.explode(near).alias("m")).select(
         "item_id", "width", "n_words", "item_fp", "b.block", F.col("b.value").bitwiseXOR(F.col("m").cast("long")).alias("value")
     )

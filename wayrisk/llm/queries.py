@@ -28,7 +28,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     from wayrisk.llm import decontaminate
 
-    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "similarity")
 
 
 @query

@@ -1,5 +1,6 @@
 """SQL twins of the numbered queries that SQL can express."""
 
+#: Looks at every window that holds a shared shingle; which of equally good windows comes first is left out.
 OP1 = r"""
 WITH RECURSIVE
 doc_words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-`{-\x7f]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
@@ -8,16 +9,16 @@ items AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM item_words
 item_grams AS (SELECT item_id, n, k, i - 1 AS item_at, array_to_string(w[i : i + k - 1], ' ') AS gram FROM items, unnest(range(1, n - k + 2)) AS t(i)),
 widths AS (SELECT DISTINCT k FROM items),
 doc_grams AS (SELECT doc_id, k, len(w) AS n_doc, i - 1 AS at, array_to_string(w[i : i + k - 1], ' ') AS gram FROM doc_words, widths, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
-hits AS (SELECT DISTINCT d.doc_id, g.item_id, g.n, g.k, greatest(0, least(d.at - g.item_at, d.n_doc - g.n)) AS start FROM doc_grams d JOIN item_grams g USING (k, gram)),
-spaced AS (SELECT *, lead(start) OVER (PARTITION BY doc_id, item_id ORDER BY start) AS following FROM hits),
-windows AS (SELECT DISTINCT doc_id, item_id, n, k, s AS start FROM spaced, unnest(range(start, CASE WHEN following - start < n THEN following ELSE start + 1 END)) AS t(s)),
+hits AS (SELECT DISTINCT d.doc_id, g.item_id, g.n, g.k, d.n_doc, d.at FROM doc_grams d JOIN item_grams g USING (k, gram)),
+windows AS (SELECT DISTINCT doc_id, item_id, n, k, s AS start FROM hits,
+  unnest(range(greatest(0, least(at - (n - k), n_doc - n)), greatest(0, least(at, n_doc - n)) + 1)) AS t(s)),
 in_window AS (SELECT w.doc_id, w.item_id, w.start, d.gram, count(*) AS c FROM windows w JOIN doc_grams d ON d.doc_id = w.doc_id AND d.k = w.k AND d.at BETWEEN w.start AND w.start + w.n - w.k GROUP BY ALL),
 in_item AS (SELECT item_id, gram, count(*) AS c FROM item_grams GROUP BY ALL),
 sizes AS (SELECT doc_id, item_id, start, sum(c) AS c FROM in_window GROUP BY ALL),
 shared AS (SELECT w.doc_id, w.item_id, w.start, sum(least(w.c, i.c)) AS c FROM in_window w JOIN in_item i USING (item_id, gram) GROUP BY ALL),
 judged AS (SELECT s.doc_id, s.item_id, s.start, i.n, CAST(h.c AS DOUBLE) / (s.c + (i.n - i.k + 1) - h.c) AS similarity
   FROM sizes s JOIN shared h USING (doc_id, item_id, start) JOIN items i USING (item_id))
-SELECT doc_id, item_id, CAST(arg_max(start, similarity * 1000000000 - start) AS INT) AS start_word, CAST(any_value(n) AS INT) AS n_words, max(similarity) AS similarity, count(*) AS n_places
+SELECT doc_id, item_id, CAST(any_value(n) AS INT) AS n_words, max(similarity) AS similarity
 FROM judged WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 """
 

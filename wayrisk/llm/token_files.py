@@ -17,6 +17,8 @@ own (`ranking.bin`, uint32 ids by rank).
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from wayrisk.llm.common import kept_in_worker, map_column, open_store, shared_folder, written
 
-WORDS_REMEMBERED = 800_000
+WORDS_REMEMBERED = 1_000_000
+SIGNS = ".,;:!?"
 BLOCK_IDS = 1 << 20  # a block ends after the document that reaches this
 FILE_IDS = 1 << 26  # a file ends after the block that reaches this
 NULL_KEY = -(1 << 63)
@@ -71,8 +74,8 @@ class WordTokenizer:
     Byte-level tokenizers of this family put one space at most in front of a word and
     join nothing across it, so a text may be cut before every space that does not stand
     between two others.
-    Known words are looked up.  New words go to the library many at a time, behind tabs,
-    which never join with a word and a space; odd ones go one by one.
+    Known words are looked up; closing signs of a word are added to the word without them.  New words go to the library many at a time, a space before each: the ids
+    that begin with the space are the cuts.  Odd ones go one by one.
     """
 
     def __init__(self, definition: str, kind: str):
@@ -83,8 +86,18 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
         self.wide = re.compile(r"\s \s")
         self.alone = re.compile(r"(?<=\S) (?=\S)")
-        tab = self.library.encode("\t", add_special_tokens=False).ids
-        self.tab = tab[0] if len(tab) == 1 else None
+        space = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.library.pre_tokenizer is not None else " "
+        parts = self.library.pre_tokenizer.pre_tokenize_str(" a?!") if self.library.pre_tokenizer is not None else []
+        self.signs_apart, self.signs = len(parts) == 2 and not self.library.get_added_tokens_decoder().keys() - self.special(definition), {}
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(1 + max(self.library.get_vocab().values()), bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+
+    @staticmethod
+    def special(definition: str) -> set[int]:
+        """Added tokens that no letters and closing signs can spell."""
+        added = json.loads(definition).get("added_tokens") or []
+        return {t["id"] for t in added if not set(t["content"]) <= set(SIGNS) and not (t["content"][-1] in SIGNS)}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
@@ -95,18 +108,31 @@ class WordTokenizer:
         found = words & self.old.keys()
         self.known.update((w, self.old[w]) for w in found)
         new = words - found
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "\t" not in w] if self.tab is not None else []
+        # a word's closing signs are pre-tokens of their own: the same word before other signs is known already
+        bare = {w: base for w in new if (base := w.rstrip(SIGNS)) and base[-1].isalpha() and len(base) < len(w)} if self.signs_apart else {}
+        wanted = new.difference(bare).union(bare.values())
+        known_bare = {b for b in bare.values() if b in self.known or b in self.old}
+        for b in known_bare:
+            self.known[b] = self.known.get(b) or self.old[b]
+        new = wanted - known_bare
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and " " not in w]
         for at in range(0, len(plain), 1000):
             some = plain[at : at + 1000]
-            coded = self.library.encode_batch_fast(["".join(["\t " + w for w in some])], add_special_tokens=False)
+            coded = self.library.encode_batch_fast(["".join([" " + w for w in some])], add_special_tokens=False)
             ids = np.array(coded[0].ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.tab), len(ids)).tolist()
-            if len(ends) != len(some) + 1:  # a tab inside a special token: one by one
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(some) or starts[0] != 0:  # something of their own between the spaces: one by one
                 continue
-            self.known.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(some, ends, ends[1:], strict=False))
+            data, ends = ids.tobytes(), [*(starts[1:] * ids.itemsize).tolist(), ids.nbytes]
+            self.known.update(zip(some, map(data.__getitem__, map(slice, (starts * ids.itemsize).tolist(), ends)), strict=True))
         for w in new:
             if w not in self.known:
                 self.known[w] = self._ids(" " + w).tobytes()
+        for w, b in bare.items():
+            signs = w[len(b) :]
+            if signs not in self.signs:
+                self.signs[signs] = self._ids(signs).tobytes()
+            self.known[w] = self.known[b] + self.signs[signs]
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         last = np.array([end], self.kind).tobytes()
@@ -128,6 +154,7 @@ def tokenized(docs: DataFrame, definition: str, end_id: int, text: str = "text",
     kind = id_kind(definition)
 
     def start():
+        gc.set_threshold(200_000, 50, 100)  # the remembered words are no cycles: looking through them is work for nothing
         words = kept_in_worker(("words", definition), lambda: WordTokenizer(definition, kind))
         return lambda texts: [words.encode(texts, end_id)]
 

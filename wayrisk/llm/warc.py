@@ -46,7 +46,7 @@ _CAPTURE_ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for
 def surt(url: Column) -> Column:
     """Sort key: host labels reversed and joined by commas, `)`, then the rest; null and URLs without `://` as they are."""
     url = F.coalesce(url, F.lit(""))
-    rest = F.substring_index(url, "://", -1)
+    rest = url.substr(F.locate("://", url) + F.lit(3), F.length(url))  # behind the first one: others belong to the rest
     host = lower_ascii(F.regexp_extract(rest, "^[^/?#]*", 0))
     tail = F.regexp_replace(rest, "^[^/?#]*", "")
     return F.when(url.contains("://"), F.concat(F.array_join(F.reverse(F.split(host, "[.]")), ","), F.lit(")"), tail)).otherwise(url)
@@ -147,8 +147,9 @@ def write_archives(pages: DataFrame, folder: str, settings: Settings = Settings(
 
 
 # --- index --------------------------------------------------------------------
-def _key(surt_key: str, page_id: int | None) -> tuple[str, int]:
-    return surt_key, -1 if page_id is None else page_id
+def _key(surt_key: str, page_id: int | None) -> tuple[str, bool, int]:
+    """Order of the index: pages without an id stand apart, before the others of their URL."""
+    return surt_key, page_id is not None, page_id or 0
 
 
 def write_index(captures: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
@@ -162,7 +163,7 @@ def write_index(captures: DataFrame, folder: str, settings: Settings = Settings(
             nonlocal at
             data = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
             file.write(data)
-            directory.append([lines[0]["surt"], _key(lines[0]["surt"], lines[0]["page_id"])[1], at, len(data)])
+            directory.append([lines[0]["surt"], lines[0]["page_id"], at, len(data)])
             at += len(data)
             lines.clear()
 
@@ -180,8 +181,7 @@ def write_index(captures: DataFrame, folder: str, settings: Settings = Settings(
                 out.write(json.dumps(directory).encode())
             yield pa.RecordBatch.from_pydict({"name": [name], "first_surt": [directory[0][0]], "first_page": [directory[0][1]]})
 
-    page = F.coalesce("page_id", F.lit(-1))
-    ordered = captures.repartitionByRange("surt", page).sortWithinPartitions("surt", page)
+    ordered = captures.repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")  # nulls first
     return written(ordered.mapInArrow(run, "name string, first_surt string, first_page long"), "index-files")
 
 
@@ -191,10 +191,10 @@ class _IndexFile:
     def __init__(self, store, root: str, name: str):
         with store.open_input_stream(f"{root}/{name}.directory") as file:
             self.directory = json.loads(file.read())
-        self.firsts = [(d[0], d[1]) for d in self.directory]
+        self.firsts = [_key(d[0], d[1]) for d in self.directory]
         self.blocks, self.place, self.lines = store.open_input_file(f"{root}/{name}.blocks"), -1, {}
 
-    def find(self, key: tuple[str, int]) -> list[dict]:
+    def find(self, key: tuple[str, bool, int]) -> list[dict]:
         place = bisect_right(self.firsts, key) - 1
         found: list[dict] = []
         # equal keys (repeated rows, rows without an id) may begin in blocks before
@@ -225,10 +225,11 @@ def look_up(wanted: DataFrame, folder: str, index: DataFrame, with_payload: bool
     """Records (``READ``) of the captures of ``wanted`` (``surt, page_id``, distinct), read by byte range.
 
     The list of index files, one key each, is what the driver holds; directories are read by
-    the tasks that need them.
+    the tasks that need them.  What they find is sorted by archive and offset and dealt by range,
+    so a task opens few archives, each once, and reads it forwards.
     """
-    files = sorted((r["first_surt"], r["first_page"], r["name"]) for r in index.collect())
-    firsts, names = [f[:2] for f in files], [f[2] for f in files]
+    files = sorted((_key(r["first_surt"], r["first_page"]), r["name"]) for r in index.collect())
+    firsts, names = [f[0] for f in files], [f[1] for f in files]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,28 +237,42 @@ def look_up(wanted: DataFrame, folder: str, index: DataFrame, with_payload: bool
             parts = [max(0, bisect_right(firsts, k) - 1) for k in keys]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int32())], names=["surt", "page_id", "part"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
-        part, index_file, name, archive, out = -1, None, "", None, []
+        part, index_file = -1, None
         for batch in batches:
+            hits = []
             for row in batch.to_pylist():
                 if row["part"] != part:
                     part, index_file = row["part"], _IndexFile(store, root, names[row["part"]])
-                for hit in index_file.find(_key(row["surt"], row["page_id"])):
-                    if hit["file"] != name:
-                        name, archive = hit["file"], store.open_input_file(f"{root}/{hit['file']}")
-                    found = parse_record(gzip.decompress(archive.read_at(hit["length"], hit["offset"])))
+                hits += [(hit["file"], hit["offset"], hit["length"]) for hit in index_file.find(_key(row["surt"], row["page_id"]))]
+            columns = zip(*hits, strict=True) if hits else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "offset", "length"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        name, archive = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                out = []
+                for file, offset, length in zip(*[c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns], strict=True):
+                    if file != name:
+                        if archive is not None:
+                            archive.close()
+                        name, archive = file, store.open_input_file(f"{root}/{file}")
+                    found = parse_record(gzip.decompress(archive.read_at(length, offset)))
                     out.append(found if with_payload else found | {"payload": None})
-                if len(out) >= ROWS_AT_ONCE:
-                    yield pa.RecordBatch.from_pylist(out, _READ_ARROW)
-                    out = []
-        yield pa.RecordBatch.from_pylist(out, _READ_ARROW)
+                yield pa.RecordBatch.from_pylist(out, _READ_ARROW)
+        if archive is not None:
+            archive.close()
 
     if not files:
         return wanted.sparkSession.createDataFrame([], READ)
     placed = wanted.select("surt", "page_id").mapInArrow(place, "surt string, page_id long, part int")
     dealt = placed.repartition(max(1, len(files)), "part").sortWithinPartitions("part", "surt", "page_id")
-    return dealt.mapInArrow(run, READ)
+    hits = written(dealt.mapInArrow(find, "file string, offset long, length long"), "capture-hits")
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hits.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, READ)
 
 
 def round_trip(pages: DataFrame, settings: Settings = Settings(), with_payload: bool = False) -> DataFrame:
