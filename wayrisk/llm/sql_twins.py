@@ -9,9 +9,9 @@ items AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM item_words
 item_grams AS (SELECT item_id, n, k, i - 1 AS item_at, array_to_string(w[i : i + k - 1], ' ') AS gram FROM items, unnest(range(1, n - k + 2)) AS t(i)),
 widths AS (SELECT DISTINCT k FROM items),
 doc_grams AS (SELECT doc_id, k, len(w) AS n_doc, i - 1 AS at, array_to_string(w[i : i + k - 1], ' ') AS gram FROM doc_words, widths, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
-hits AS (SELECT DISTINCT d.doc_id, g.item_id, g.n, g.k, d.n_doc, d.at FROM doc_grams d JOIN item_grams g USING (k, gram)),
+hits AS (SELECT DISTINCT d.doc_id, g.item_id, g.n, g.k, d.n_doc, d.at AS place FROM doc_grams d JOIN item_grams g USING (k, gram)),
 windows AS (SELECT DISTINCT doc_id, item_id, n, k, s AS start FROM hits,
-  unnest(range(greatest(0, least(at - (n - k), n_doc - n)), greatest(0, least(at, n_doc - n)) + 1)) AS t(s)),
+  unnest(range(greatest(0, least(place - (n - k), n_doc - n)), greatest(0, least(place, n_doc - n)) + 1)) AS t(s)),
 in_window AS (SELECT w.doc_id, w.item_id, w.start, d.gram, count(*) AS c FROM windows w JOIN doc_grams d ON d.doc_id = w.doc_id AND d.k = w.k AND d.at BETWEEN w.start AND w.start + w.n - w.k GROUP BY ALL),
 in_item AS (SELECT item_id, gram, count(*) AS c FROM item_grams GROUP BY ALL),
 sizes AS (SELECT doc_id, item_id, start, sum(c) AS c FROM in_window GROUP BY ALL),
