@@ -40,5 +40,6 @@ def load() -> None:
         ingest_queries,
         report_queries,
         scorecard_queries,
+        storage_queries,
         usage_queries,
     )

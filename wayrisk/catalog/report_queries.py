@@ -7,6 +7,7 @@ from wayrisk.catalog.views import MIN_TRIPS, MIN_TRIPS_MONTH, MIN_TRIPS_YEAR
 from wayrisk.functions import expr as X
 from wayrisk.operators import filters
 from wayrisk.operators.canonical import drop_boolean_columns
+from wayrisk.operators.filters import single_mode
 from wayrisk.plans import report
 
 EB = report.EB
@@ -475,3 +476,14 @@ def _(v):
 @query("sta11_density_clusters_of_four", _dense_sql(_STATION_POINTS, 4))
 def _(v):
     return report.high_risk_clusters(_station_points(v), key="id", min_samples=4).select("id", "cluster")
+
+
+@query("agg41_crash_count_range", "SELECT min(crash_count) AS least, max(crash_count) AS most FROM score")
+def _(v):
+    return report.crash_count_range(v.score())
+
+
+@query("prj14_one_mode", "SELECT mode, year, count(*) AS trips FROM trips WHERE mode = 'nyc' GROUP BY mode, year")
+def _(v):
+    rows, mode = single_mode(v.trips.withColumn("mode", F.upper("mode")), " NYC ")
+    return rows.groupBy(F.lit(mode).alias("mode"), "year").agg(F.count(F.lit(1)).alias("trips"))

@@ -73,8 +73,11 @@ def rate_column(radius: float) -> str:
 
 def radii_in_columns(columns: Iterable[str]) -> list[int]:
     """Radii for which a crash count (or rate) column is present."""
-    hits = (re.fullmatch(r"crashes_within_(\d+)m(?:_per_100k_trips)?", c) for c in columns)
-    return sorted({int(h[1]) for h in hits if h})
+    before, after = crash_column(0).split("0")
+    as_rate = rate_column(0).removeprefix(crash_column(0))
+    counts = (c.removesuffix(as_rate) for c in columns)
+    middles = (c[len(before) : -len(after)] for c in counts if c.startswith(before) and c.endswith(after))
+    return sorted({int(m) for m in middles if m.isdecimal() and m.isascii()})
 
 
 def choose_radius(available: Iterable[int], wanted: str | int | float | None, strict: bool = False) -> int:

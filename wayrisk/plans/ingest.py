@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wayrisk.functions.params import check_ingest_request
@@ -58,6 +58,20 @@ def ingest(
     return [tuple(r) for r in counts]
 
 
+def written_months(trips: DataFrame, out: str, keep_null_times: bool = False, compression: str = "none") -> dict[str, int]:
+    """Write the months of ``trips``; ``rows``, ``kept`` and ``untimed`` are counted by the write itself.
+
+    ``untimed`` rows have no start and are left out unless they are to be kept.
+    """
+    seen = Observation()
+    timed = F.col("started_at").isNotNull()
+    facts = [F.count(F.lit(1)).alias("rows"), F.count(F.when(timed, 1)).alias("kept"), F.count(F.when(~timed, 1)).alias("untimed")]
+    counted = trips.observe(seen, *facts)
+    write_months(counted if keep_null_times else counted.where(timed), out, compression)
+    found = {k: int(v) for k, v in seen.get.items()}
+    return found | {"kept": found["rows"]} if keep_null_times else found
+
+
 def quarantine(out: str) -> str:
     """Where rows go that do not fit their header."""
     return f"{out.rstrip('/')}-quarantine"

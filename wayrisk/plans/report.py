@@ -16,7 +16,7 @@ from wayrisk.operators.clusters import density_clusters
 from wayrisk.operators.filters import credible
 from wayrisk.operators.ordering import medians, percentiles
 from wayrisk.operators.shares import group_shares
-from wayrisk.schemas import RATE_SCALE, SUMMARY_NOTES, TIERS
+from wayrisk.schemas import RATE_SCALE, REACH_COLUMNS, SUMMARY_NOTES, TIERS, WHEN_COLUMNS, WHERE_COLUMNS
 from wayrisk.session import small_side
 
 EB = "eb_risk_rate_per_100k_trips"
@@ -50,6 +50,11 @@ def high_risk_totals(high: DataFrame) -> DataFrame:
     )
 
 
+def crash_count_range(scorecard: DataFrame) -> DataFrame:
+    """Least and largest crash count; null without rows."""
+    return scorecard.agg(F.min("crash_count").alias("least"), F.max("crash_count").alias("most"))
+
+
 def top_high_risk(high: DataFrame, n: int = 10, rate: str = EB) -> DataFrame:
     return _top(high, n, rate, "exposure_trips")
 
@@ -334,17 +339,6 @@ def top_station_trips_by_year(top_by_month: DataFrame) -> DataFrame:
 
 
 # --- decision tables -------------------------------------------------------
-WHERE_COLUMNS = [
-    "mode", "year", "month", "start_station_id", "start_station_name", "exposure_trips", "crash_count",
-    EB, "expected_incidents_proxy", "priority_score", "credibility_flag",
-]
-REACH_COLUMNS = ["mode", "year", "month", "start_station_id", "start_station_name", "exposure_trips", "credibility_flag"]
-WHEN_COLUMNS = [
-    "mode", "window_type", "segment", "window_label", "trips", "pct_of_mode_year_trips", "priority_metric",
-    "recommended_action",
-]
-
-
 def where_prevention(scorecard: DataFrame, n: int = 20, min_trips: int = 5000) -> DataFrame:
     """Credible stations by expected incidents (by priority where there are none), then exposure."""
     rows = credible(scorecard, min_trips)

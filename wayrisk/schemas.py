@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 _S, _D, _I, _L = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType()
 
-# --- trips ---------------------------------------------------------------
+# --- fixed values: columns of the published data (must equal them) ---------
+# Trips.
 CANONICAL_TRIP = T.StructType(
     [
         T.StructField("ride_id", _S),
@@ -70,7 +71,7 @@ RAW_TRIP_COLUMNS: list[str] = sorted(
     | {name for names in RIDE_ID_SOURCES for name in names}
 )
 
-# --- crashes -------------------------------------------------------------
+# Crashes.
 CRASH_COLUMNS = [
     "collision_id",
     "crash_date",
@@ -170,3 +171,13 @@ SUMMARY_NOTES = {
     "product": "High exposure → strong sales reach",
     "acquisition": "High exposure + low risk → easy wins",
 }
+# Columns of the decision tables, in order.
+WHERE_COLUMNS = [
+    "mode", "year", "month", "start_station_id", "start_station_name", "exposure_trips", "crash_count",
+    "eb_risk_rate_per_100k_trips", "expected_incidents_proxy", "priority_score", "credibility_flag",
+]
+REACH_COLUMNS = ["mode", "year", "month", "start_station_id", "start_station_name", "exposure_trips", "credibility_flag"]
+WHEN_COLUMNS = [
+    "mode", "window_type", "segment", "window_label", "trips", "pct_of_mode_year_trips", "priority_metric",
+    "recommended_action",
+]

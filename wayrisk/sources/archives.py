@@ -7,6 +7,7 @@ in blocks as Arrow batches; every member is its own task.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
@@ -15,6 +16,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,7 +151,19 @@ def _header_of(stream) -> list[str]:
     return next(csv.reader([text]), [])
 
 
-def _csv_batches(stream) -> Iterator[tuple[list[str], pa.RecordBatch | None, list[str]]]:
+def encoding_of(stream) -> str:
+    """UTF-8 if the whole stream is, else Latin-1, which any bytes are; read in blocks."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        while block := stream.read(BLOCK_BYTES):
+            decoder.decode(block)
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return "latin-1"
+    return "utf8"
+
+
+def _csv_batches(stream, encoding: str) -> Iterator[tuple[list[str], pa.RecordBatch | None, list[str]]]:
     """Standardised header with text batches, and the rows whose length did not fit it."""
     names = [standard_name(n) for n in clean_header(_header_of(stream))]
     if not names:
@@ -162,7 +176,7 @@ def _csv_batches(stream) -> Iterator[tuple[list[str], pa.RecordBatch | None, lis
 
     reader = pacsv.open_csv(
         stream,
-        read_options=pacsv.ReadOptions(column_names=names, block_size=BLOCK_BYTES, use_threads=False),
+        read_options=pacsv.ReadOptions(column_names=names, block_size=BLOCK_BYTES, use_threads=False, encoding=encoding),
         parse_options=pacsv.ParseOptions(newlines_in_values=True, invalid_row_handler=set_aside),
         convert_options=pacsv.ConvertOptions(
             column_types={n: pa.string() for n in names}, strings_can_be_null=True
@@ -176,9 +190,11 @@ def _csv_batches(stream) -> Iterator[tuple[list[str], pa.RecordBatch | None, lis
 
 def _tables_in(archive: zipfile.ZipFile, member: str, depth: int):
     if member.lower().endswith(".csv"):
+        with archive.open(member) as stream:
+            encoding = encoding_of(stream)
         with archive.open(member) as stream:
             try:
-                yield from _csv_batches(io.BufferedReader(stream))
+                yield from _csv_batches(io.BufferedReader(stream), encoding)
             except pa.ArrowInvalid as error:
                 if "Empty CSV" not in str(error):
                     raise
@@ -207,7 +223,7 @@ def _arrow_schema() -> pa.Schema:
 
 def _shaped(row: dict, names: list[str], batch: pa.RecordBatch | None, ragged: list[str]) -> pa.RecordBatch:
     schema, n = _arrow_schema(), len(ragged) if batch is None else batch.num_rows
-    headers = pa.ListArray.from_arrays(pa.array([i * len(names) for i in range(n + 1)], pa.int32()), pa.array(names * n, pa.string()))
+    headers = pa.array([names], pa.list_(pa.string())).take(pa.array(np.zeros(n, np.int32)))
     columns = []
     for f in schema:
         if f.name in row:

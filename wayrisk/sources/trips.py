@@ -28,26 +28,29 @@ def read_trips(
     return select_periods(select_mode(table, mode), years, months)
 
 
+FOOTER_COUNTS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
 def month_row_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Trips per partition without decoding any column."""
-    return read_trips(spark, root).groupBy("mode", "year", "month").agg(F.count(F.lit(1)).alias("trips"))
+    """Trips per partition from the files' footers: the count is pushed into the scan, no row is read.
+
+    The settings that allow it hold for this plan alone.
+    """
+    before = {k: spark.conf.get(k, None) for k in FOOTER_COUNTS}
+    try:
+        for k, v in FOOTER_COUNTS.items():
+            spark.conf.set(k, v)
+        counts = read_trips(spark, root).groupBy("mode", "year", "month").agg(F.count(F.lit(1)).alias("trips"))
+        counts._jdf.queryExecution().optimizedPlan()  # planned while the settings hold
+        return counts
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def existing_months(spark: SparkSession, root: str) -> DataFrame:
-    """Months present under a trip root, from folder names alone."""
-    pattern = r"mode=([^/]+)/year=(\d{4})/month=(\d{1,2})/[^/]+$"
-    part = lambda i: F.regexp_extract("path", pattern, i)
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-    )
-    return (
-        listed.where(part(1) != "")
-        .select(part(1).alias("mode"), part(2).cast("int").alias("year"), part(3).cast("int").alias("month"))
-        .distinct()
-    )
+    """Months present under a trip root, as partition discovery names them; no column of a file is read."""
+    return spark.read.schema(TRIP_TABLE).parquet(root).select("mode", "year", "month").distinct()
 
 
 def column_set(spark: SparkSession, path: str) -> list[str]:
