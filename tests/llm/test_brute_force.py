@@ -35,8 +35,10 @@ def rows(spark, name, folder=FOLDER):
 def test_op1(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
     want = brute.leaks(texts, items)
-    got = {(r[0], r[1]): (r[4], r[2]) for r in rows(spark, "op1_decontaminate")}
+    tables = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.leaks(*tables).collect()}
     assert want and same_leaks(got, want)
+    assert {(r[0], r[1]): r[3] for r in rows(spark, "op1_decontaminate")} == {k: v[0] for k, v in got.items()}
 
 
 def same_leaks(got, want):
