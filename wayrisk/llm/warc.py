@@ -39,6 +39,7 @@ class Settings:
 
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ROWS_AT_ONCE = 64
 CAPTURE = "surt string, date string, page_id long, record_type string, digest string, file string, offset long, length long"
 _CAPTURE_ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (f.split() for f in CAPTURE.split(", "))])
 
@@ -124,21 +125,22 @@ def write_archives(pages: DataFrame, folder: str, settings: Settings = Settings(
         store, root = open_store(folder)
         file, name, at = None, "", 0
         for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                if file is None:
-                    name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
-                    file = store.open_output_stream(f"{root}/{name}", compression=None)
-                raw, digest = record(row["page_id"], row["url"], row["html"].encode("utf-8", "replace"), row["refers_to"], settings)
-                member = gzip.compress(raw, settings.level, mtime=0)
-                file.write(member)
-                kind = "response" if row["refers_to"] is None else "revisit"
-                found.append({"surt": row["surt"], "date": settings.date, "page_id": row["page_id"], "record_type": kind, "digest": digest, "file": name, "offset": at, "length": len(member)})
-                at += len(member)
-                if at >= settings.archive_bytes:
-                    file.close()
-                    file = None
-            yield pa.RecordBatch.from_pylist(found, _CAPTURE_ARROW)
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):  # few payloads at a time as Python strings
+                found = []
+                for row in batch.slice(begin, ROWS_AT_ONCE).to_pylist():
+                    if file is None:
+                        name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
+                        file = store.open_output_stream(f"{root}/{name}", compression=None)
+                    raw, digest = record(row["page_id"], row["url"], row["html"].encode("utf-8", "replace"), row["refers_to"], settings)
+                    member = gzip.compress(raw, settings.level, mtime=0)
+                    file.write(member)
+                    kind = "response" if row["refers_to"] is None else "revisit"
+                    found.append({"surt": row["surt"], "date": settings.date, "page_id": row["page_id"], "record_type": kind, "digest": digest, "file": name, "offset": at, "length": len(member)})
+                    at += len(member)
+                    if at >= settings.archive_bytes:
+                        file.close()
+                        file = None
+                yield pa.RecordBatch.from_pylist(found, _CAPTURE_ARROW)
         if file is not None:
             file.close()
 
@@ -218,7 +220,6 @@ class _IndexFile:
 
 READ = "page_id long, url string, date string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _READ_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in READ.split(", "))])
-ROWS_AT_ONCE = 64
 
 
 def look_up(wanted: DataFrame, folder: str, index: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -244,6 +245,8 @@ def look_up(wanted: DataFrame, folder: str, index: DataFrame, with_payload: bool
             hits = []
             for row in batch.to_pylist():
                 if row["part"] != part:
+                    if index_file is not None:
+                        index_file.blocks.close()
                     part, index_file = row["part"], _IndexFile(store, root, names[row["part"]])
                 hits += [(hit["file"], hit["offset"], hit["length"]) for hit in index_file.find(_key(row["surt"], row["page_id"]))]
             columns = zip(*hits, strict=True) if hits else ([], [], [])
