@@ -22,7 +22,6 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,12 +137,14 @@ class WordTokenizer:
         last = np.array([end], self.kind).tobytes()
         split = [self.alone.split(t) if self.wide.search(t) else t.split(" ") for t in (t or "" for t in texts)]
         heads = [self._ids(words.pop(0)).tobytes() for words in split]
-        everything = set(chain.from_iterable(split))
-        new = everything.difference(self.known)
+        get = self.known.get
+        coded = [list(map(get, words)) for words in split]
+        new = {w for words, ids in zip(split, coded, strict=True) for w, i in zip(words, ids, strict=True) if i is None}
         if new:
-            self._learn(everything if len(self.known) + len(new) > WORDS_REMEMBERED else new)
-        get = self.known.__getitem__
-        return [head + b"".join(map(get, words)) + last for head, words in zip(heads, split, strict=True)]
+            self._learn(new)
+            learned = self.known
+            coded = [[learned[w] if i is None else i for w, i in zip(words, ids, strict=True)] for words, ids in zip(split, coded, strict=True)]
+        return [head + b"".join(ids) + last for head, ids in zip(heads, coded, strict=True)]
 
 
 def tokenized(docs: DataFrame, definition: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
