@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -146,9 +147,24 @@ def test_op4_code_and_odd_texts():
         definition = file.read()
     words, library, rng = token_files.WordTokenizer(definition, "<u2"), Tokenizer.from_str(definition), random.Random(2)
     signs = ["a", "the", "'s", " ", " ", "  ", "\n", "\t", " ", "é", "1", ".", "<|endoftext|>", "😀", "　", "\r"]
-    cases = ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(3000)]
-    for case, got in zip(cases, words.encode(cases, 2), strict=True):
-        assert np.frombuffer(got, "<u2").tolist() == [*library.encode(case, add_special_tokens=False).ids, 2]
+    signs += ["B", "<", ">", "|", "#", "$$", "?!", "'", "_", "日", "\u0301", "\x1c", "\u2028", "\n\n"]
+    for _ in range(60):  # small tables, so that words are new, known and in other company
+        cases = [None, "", *["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(150)]]
+        for case, got in zip(cases, words.encode(pa.array(cases, pa.string()), 2).to_pylist(), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == [*library.encode(case or "", add_special_tokens=False).ids, 2]
+
+
+def test_op4_forgotten_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "WORDS_REMEMBERED", 20)
+    with open(BYTES, encoding="utf-8") as file:
+        definition = file.read()
+    words, library, rng = token_files.WordTokenizer(definition, "<u2"), Tokenizer.from_str(definition), random.Random(3)
+    for _ in range(50):
+        cases = [" ".join(rng.choice(["ab", "cd,", "ef.\nGh!", "x"]) + rng.choice("klmno") for _ in range(12)) for _ in range(5)]
+        for case, got in zip(cases, words.encode(pa.array(cases), 2).to_pylist(), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == [*library.encode(case, add_special_tokens=False).ids, 2]
 
 
 def test_op6(spark, texts):

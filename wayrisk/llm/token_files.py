@@ -20,18 +20,21 @@ from __future__ import annotations
 import gc
 import json
 import re
+import string
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm.common import kept_in_worker, map_column, open_store, shared_folder, written
+from wayrisk.llm.common import kept_in_worker, open_store, shared_folder, written
 
 WORDS_REMEMBERED = 1_000_000
-SIGNS = ".,;:!?"
+CHUNK_BYTES = 4 << 20  # of text in one look-up of words
+BLANK_FIRST = r"^(?:$|[\s\x0b\x1c-\x1f\x{85}\p{Z}])"  # what Python takes for blanks, or nothing
 BLOCK_IDS = 1 << 20  # a block ends after the document that reaches this
 FILE_IDS = 1 << 26  # a file ends after the block that reaches this
 NULL_KEY = -(1 << 63)
@@ -72,9 +75,12 @@ class WordTokenizer:
 
     Byte-level tokenizers of this family put one space at most in front of a word and
     join nothing across it, so a text may be cut before every space that does not stand
-    between two others.
-    Known words are looked up; closing signs of a word are added to the word without them.  New words go to the library many at a time, a space before each: the ids
-    that begin with the space are the cuts.  Odd ones go one by one.
+    between two others.  The words of many texts are told apart by Arrow, so each is looked
+    up once, and the texts' ids are gathered from those of their words.
+
+    A new word is cut further where the tokenizer's own splitter always cuts: at single line
+    ends and before closing signs.  What is left of it goes to the library many at a time, a
+    space or line end before each: the ids that begin with it are the cuts.  Odd words go one by one.
     """
 
     def __init__(self, definition: str, kind: str):
@@ -83,68 +89,139 @@ class WordTokenizer:
         self.library, self.kind = Tokenizer.from_str(definition), kind
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.wide = re.compile(r"\s \s")
         self.alone = re.compile(r"(?<=\S) (?=\S)")
-        space = self.library.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.library.pre_tokenizer is not None else " "
-        parts = self.library.pre_tokenizer.pre_tokenize_str(" a?!") if self.library.pre_tokenizer is not None else []
-        self.signs_apart, self.signs = len(parts) == 2 and not self.library.get_added_tokens_decoder().keys() - self.special(definition), {}
+        added = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
+        split = self.library.pre_tokenizer and self.library.pre_tokenizer.pre_tokenize_str
+        space = split(" a")[0][0][0] if split else " "
+        # signs that end an added token would hide it; an apostrophe may belong to the letters before it
+        closing = "".join(c for c in string.punctuation if c != "'" and not any(t.endswith(c) for t in added))
+        apart = split is not None and all(len(split(" a" + c + d)) == 2 for c in closing for d in closing)
+        self.closing = closing if apart else ""
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.begins = np.zeros(1 + max(self.library.get_vocab().values()), bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
-
-    @staticmethod
-    def special(definition: str) -> set[int]:
-        """Added tokens that no letters and closing signs can spell."""
-        added = json.loads(definition).get("added_tokens") or []
-        return {t["id"] for t in added if not set(t["content"]) <= set(SIGNS) and not (t["content"][-1] in SIGNS)}
+        line = self._ids("\n")
+        lines_apart = split is not None and len(split("a\nb")) == 3 and len(line) == 1 and not any("\n" in t for t in added)
+        self.ends = np.zeros(len(self.begins), bool)
+        if lines_apart:
+            self.ends[line] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS_REMEMBERED:
-            self.known, self.old = {}, self.known
-        found = words & self.old.keys()
-        self.known.update((w, self.old[w]) for w in found)
-        new = words - found
-        # a word's closing signs are pre-tokens of their own: the same word before other signs is known already
-        bare = {w: base for w in new if (base := w.rstrip(SIGNS)) and base[-1].isalpha() and len(base) < len(w)} if self.signs_apart else {}
-        wanted = new.difference(bare).union(bare.values())
-        known_bare = {b for b in bare.values() if b in self.known or b in self.old}
-        for b in known_bare:
-            self.known[b] = self.known.get(b) or self.old[b]
-        new = wanted - known_bare
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and " " not in w]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            coded = self.library.encode_batch_fast(["".join([" " + w for w in some])], add_special_tokens=False)
-            ids = np.array(coded[0].ids, self.kind)
-            starts = np.flatnonzero(self.begins[ids])
-            if len(starts) != len(some) or starts[0] != 0:  # something of their own between the spaces: one by one
+    def _lines(self, word: str) -> list[str]:
+        """The word up to its first line end, then each line; a space, which no word begins with, stands for the line end before it."""
+        first, *lines = word.split("\n")
+        if not self.ends.any() or not all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)):
+            return [word]
+        return [first, *[" " + x for x in lines]]
+
+    def _together(self, parts: list[str], line: bool) -> None:
+        """Many parts at once; those that hold something of their own between the cuts stay unknown."""
+        before, first = ("\n", self.ends) if line else (" ", self.begins)
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            bare = [w[1:] for w in some] if line else some
+            text = before + before.join(bare)
+            if text.split() != bare:  # a blank inside
+                fine = [w for w, x in zip(some, bare, strict=True) if x.split() == [x]]
+                if len(fine) < len(some):
+                    self._together(fine, line)
+                    continue
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            starts = np.flatnonzero(first[ids])
+            if len(starts) != len(some) or starts[0] != 0:
                 continue
-            data, ends = ids.tobytes(), [*(starts[1:] * ids.itemsize).tolist(), ids.nbytes]
-            self.known.update(zip(some, map(data.__getitem__, map(slice, (starts * ids.itemsize).tolist(), ends)), strict=True))
-        for w in new:
-            if w not in self.known:
-                self.known[w] = self._ids(" " + w).tobytes()
-        for w, b in bare.items():
-            signs = w[len(b) :]
-            if signs not in self.signs:
-                self.signs[signs] = self._ids(signs).tobytes()
-            self.known[w] = self.known[b] + self.signs[signs]
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        last = np.array([end], self.kind).tobytes()
-        split = [self.alone.split(t) if self.wide.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        heads = [self._ids(words.pop(0)).tobytes() for words in split]
-        get = self.known.get
-        coded = [list(map(get, words)) for words in split]
-        new = {w for words, ids in zip(split, coded, strict=True) for w, i in zip(words, ids, strict=True) if i is None}
-        if new:
-            self._learn(new)
-            learned = self.known
-            coded = [[learned[w] if i is None else i for w, i in zip(words, ids, strict=True)] for words, ids in zip(split, coded, strict=True)]
-        return [head + b"".join(ids) + last for head, ids in zip(heads, coded, strict=True)]
+            data, cuts = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+            self.known.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Make parts known: words, or lines after a line end."""
+        closing, whole, signed = self.closing, [], []
+        for w in parts:
+            base = w.rstrip(closing) if closing else w
+            if len(base) < len(w) and base and base[-1].isalpha():
+                signed.append((w, base))
+            else:
+                whole.append(w)
+        wanted = {*whole, *[base for _, base in signed]} - self.known.keys()
+        again = wanted & self.old.keys()
+        self.known.update((w, self.old[w]) for w in again)
+        wanted -= again
+        lines = [w for w in wanted if w[:1] == " "]
+        self._together(lines, True)
+        self._together(list(wanted.difference(lines)), False)
+        for w in wanted - self.known.keys():
+            self.known[w] = self._ids("\n" + w[1:] if w[:1] == " " else " " + w).tobytes()
+        if len(self.signs) > WORDS_REMEMBERED // 10:
+            self.signs.clear()
+        for w, base in signed:
+            last = w[len(base) :]
+            if last not in self.signs:
+                self.signs[last] = self._ids(last).tobytes()
+            self.known[w] = self.known[base] + self.signs[last]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are not known, a space before each."""
+        lines = {w: self._lines(w) for w in words if "\n" in w}
+        parts = [w for w in words if w not in lines] if lines else words
+        self._learn_parts([*parts, *{x for cut in lines.values() for x in cut}])
+        known = self.known
+        return [known[w] if w not in lines else b"".join([known[x] for x in lines[w]]) for w in words]
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """Ids of words, a space before each."""
+        if len(self.known) > WORDS_REMEMBERED:
+            self.known, self.old = {}, self.known
+        coded = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(coded) if ids is None]
+        for i, ids in zip(new, self._learn([words[i] for i in new]), strict=True):
+            coded[i] = ids
+        return coded
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text with runs of blanks."""
+        first, *words = self.alone.split(text)
+        return self._ids(first).tobytes() + b"".join(self._coded(words))
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """Ids of each text (null: empty) and ``end``, as binary."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        words = lists.flatten()
+        firsts = words.take(pa.array(at[:-1])).to_pylist()
+        told = words.dictionary_encode()
+        places = told.indices.to_numpy().astype(np.int64)
+        # no word holds a space, so joining and splitting is the short way to Python strings
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(told.dictionary)], pa.int32()), told.dictionary), " ")[0].as_py().split(" ")
+        coded = self._coded(distinct)
+        blank = pc.match_substring_regex(told.dictionary, BLANK_FIRST).to_numpy(zero_copy_only=False)
+        keep = np.ones(len(places), bool)
+        with_blanks = set(np.unique(np.searchsorted(at, np.flatnonzero(blank[places]), "right") - 1).tolist())
+        for row, first in enumerate(firsts):
+            if row in with_blanks and self.wide.search(text := texts[row].as_py()):
+                ids = self._whole(text)
+                keep[at[row] + 1 : at[row + 1]] = False
+            else:
+                ids = self._ids(first).tobytes()
+            places[at[row]] = len(coded)
+            coded.append(ids)
+        last = len(coded)
+        coded.append(np.array([end], self.kind).tobytes())
+        kept = np.append(0, np.cumsum(keep))[at]
+        places = np.insert(places[keep], kept[1:], last)
+        flat = np.frombuffer(b"".join(coded), self.kind)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // flat.itemsize
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[places]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(starts[places] - ends + counts, counts) + np.arange(ends[-1])]
+        bounds = np.append(0, ends)[kept + np.arange(len(kept))] * flat.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
 
 
 def tokenized(docs: DataFrame, definition: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -154,13 +231,24 @@ def tokenized(docs: DataFrame, definition: str, end_id: int, text: str = "text",
     """
     kind = id_kind(definition)
 
-    def start():
-        gc.set_threshold(200_000, 50, 100)  # the remembered words are no cycles: looking through them is work for nothing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept_in_worker(("words", definition), lambda: WordTokenizer(definition, kind))
-        return lambda texts: [words.encode(texts, end_id)]
+        gc.disable()  # the remembered words are no cycles: looking through them is work for nothing
+        try:
+            for batch in batches:
+                sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+                begin = 0
+                while begin < batch.num_rows:  # whole texts up to CHUNK_BYTES, one at least
+                    before = sizes[begin - 1] if begin else 0
+                    stop = max(begin + 1, int(np.searchsorted(sizes, before + CHUNK_BYTES, "right")))
+                    part = batch.slice(begin, stop - begin)
+                    yield pa.RecordBatch.from_arrays([part.column(0), words.encode(part.column(1), end_id)], names=[key, "ids"])
+                    begin = stop
+        finally:
+            gc.enable()
 
     ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
-    return map_column(ordered, [key], text, start, [("ids", "binary", pa.binary())])
+    return ordered.mapInArrow(run, f"`{key}` {ordered.schema[0].dataType.simpleString()}, ids binary")
 
 
 def id_kind(definition: str) -> str:
