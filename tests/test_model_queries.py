@@ -1,5 +1,7 @@
 """The model queries: the engine's own defaults, early stopping, and whole queries beside their twins."""
 
+import dataclasses
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,13 @@ def test_steps_run_side_by_side_in_order(spark):
     assert together(spark, [lambda k=k: spark.range(k).count() for k in (3, 1, 2)]) == [3, 1, 2] and together(spark, []) == []
     with pytest.raises(ZeroDivisionError):
         together(spark, [lambda: 1 // 0, lambda: 1])
+
+
+def test_a_round_carries_few_trees_and_few_tasks(spark):
+    """Stored predictions bound what a task carries; the trees are those of any interval."""
+    rows = forecast.labelled_rows(P.station_panel(stations(spark))).cache()
+    features = P.feature_columns(rows)
+    short = forecast.TreeSettings(rounds=7, depth=3, step=0.5)
+    often, seldom = (forecast.fit_trees(rows, features, s).model.stages[-1] for s in (short, dataclasses.replace(short, checkpoint_rounds=10)))
+    assert often.getCheckpointInterval() == short.checkpoint_rounds <= 4 and often.toDebugString.partition("\n")[2] == seldom.toDebugString.partition("\n")[2]
+    assert short.task_rows >= 200_000

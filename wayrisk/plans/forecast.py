@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wayrisk.functions import expr as X
 from wayrisk.functions.params import check_months, month_index, year_month
 from wayrisk.operators import panel as P
-from wayrisk.session import stored, together
+from wayrisk.session import ensure_checkpoint_dir, stored, together
 
 PREDICTION_COLUMNS = [
     "mode",
@@ -45,7 +45,8 @@ class TreeSettings:
     ``patience``: rounds without a smaller validation error after which boosting is over; the model
     ends with the best round.  It holds where a validation split exists; None takes all rounds.
     ``task_rows`` is what one task of a fit reads, ``node_memory_mb`` what the statistics of the nodes
-    of a level may take, so that a level is one job.
+    of a level may take, so that a level is one job.  Every ``checkpoint_rounds`` rounds the running
+    predictions are stored: until then each task of a round carries the trees of the rounds since.
     """
 
     rounds: int = 100
@@ -56,8 +57,9 @@ class TreeSettings:
     seed: int = 42
     log1p: bool = False
     patience: int | None = 20
-    task_rows: int = 50_000
+    task_rows: int = 250_000
     node_memory_mb: int = 1024
+    checkpoint_rounds: int = 3
 
 
 @dataclass(frozen=True)
@@ -158,8 +160,10 @@ def fit_trees(train: DataFrame, features: Sequence[str], settings: TreeSettings,
             featureSubsetStrategy=settings.features,
             seed=settings.seed,
             maxMemoryInMB=settings.node_memory_mb,
+            checkpointInterval=settings.checkpoint_rounds,
         ).fit(rows)
 
+    ensure_checkpoint_dir(train.sparkSession)  # without one no round is stored
     rows, checks = ready(train), None
     try:
         trees, errors, rounds = boosted(settings.rounds), [], settings.rounds
