@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from wayrisk.llm.common import Memo, int_lists, kept_in_worker, map_column
 
 SPACE = "▁"
-SEGMENTS_REMEMBERED = 400_000  # in each of two generations
-PAIRS_REMEMBERED = 300_000
+SEGMENTS_REMEMBERED = 100_000  # in each of two generations, about 150 bytes an entry in every worker
+PAIRS_REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 LONGEST_PLAIN_MERGE = 40
 
