@@ -1,5 +1,7 @@
 """Boosted trees beside Spark ML's own, whatever the blocks, and the jobs that fits take."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -74,7 +76,7 @@ def test_levels_beyond_the_memory_take_more_jobs_and_the_same_trees(spark):
 
 
 def jobs(spark, step):
-    group = f"jobs-{id(step)}"
+    group = f"jobs-{uuid.uuid4().hex}"
     spark.sparkContext.setJobGroup(group, "")
     try:
         step()
