@@ -171,7 +171,8 @@ def right_vectors(r: np.ndarray, n_vectors: int) -> tuple[np.ndarray, np.ndarray
     diagonal, above, scaled = diagonal / size, above / size, values / (size * size)
     random, found, group = np.random.default_rng(SEED), [], 0
     for k in range(n_vectors):
-        if k and scaled[k - 1] - scaled[k] > CLOSE * scaled[k - 1]:
+        # values below the rounding of the largest are one group, however far apart
+        if k and scaled[k - 1] - scaled[k] > CLOSE * scaled[k - 1] and scaled[k - 1] > (len(scaled) * EPS) ** 2 * scaled[0]:
             group = k
         factors = _Twisted(diagonal, above, float(scaled[k]))
         z = factors.vector()
